@@ -17,7 +17,7 @@ rows count as often as they stand; an empty table gives no rows. Other columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +32,20 @@ BLOCK_BYTES, PARTITION_BYTES = 12_000_000, 3_000_000
 SCHEMA = "doc_id long, n_words long, log_score double, mean_log_score double, n_backed_off long"
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Bytes of uint64 values in planes, the alike high bytes together, so that a shuffle compresses them."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+#: Bytes of a sorted hash's difference to the next that look random.
+_RANDOM = 5
 
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def pack(x: np.ndarray, raw: int = 0) -> bytes:
+    """uint64 values as planes of bytes, deflated but for the ``raw`` lowest ones, which are not worth it."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
+    return planes[:raw].tobytes() + zlib.compress(planes[raw:].tobytes(), 1)
+
+
+def unpack(data: bytes, n: int, raw: int = 0) -> np.ndarray:
+    """``n`` values that ``pack`` made bytes of."""
+    planes = np.frombuffer(data[: raw * n] + zlib.decompress(data[raw * n :]), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
 
 def grams(hashes: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
@@ -91,26 +98,27 @@ def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_co
         asked = [(p, c) for p, c in zip(np.split(types, cuts), np.split(counts, cuts), strict=True) if len(p)]
         return pa.table({
             "part": pa.array([int(p[0] >> np.uint64(64 - bits)) for p, _ in asked], pa.int64()), "block": pa.array([key[0].as_py()] * len(asked), pa.int64()),
-            "types": pa.array([pack(np.diff(p, prepend=np.uint64(0))) for p, _ in asked], pa.binary()), "counts": pa.array([pack(c) for _, c in asked], pa.binary()),
+            "n": pa.array([len(p) for p, _ in asked], pa.int64()), "types": pa.array([pack(np.diff(p, prepend=np.uint64(0)), _RANDOM) for p, _ in asked], pa.binary()), "counts": pa.array([pack(c) for _, c in asked], pa.binary()),
         })
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        asked = [np.cumsum(unpack(x), dtype=np.uint64) for x in table.column("types").to_pylist()]
-        counts = np.concatenate([unpack(x) for x in table.column("counts").to_pylist()])
+        sizes = table.column("n").to_pylist()
+        asked = [np.cumsum(unpack(x, n, _RANDOM), dtype=np.uint64) for x, n in zip(table.column("types").to_pylist(), sizes, strict=True)]
+        counts = np.concatenate([unpack(x, n) for x, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
         types, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         totals = np.bincount(inverse, counts, len(types)).astype(np.uint64)  # exact below 2**53
-        mine = np.split(totals[inverse], np.cumsum([len(x) for x in asked])[:-1])
-        return pa.table({"block": table.column("block"), "part": pa.array([key[0].as_py()] * len(asked), pa.int64()), "totals": pa.array([pack(x) for x in mine], pa.binary())})
+        mine = np.split(totals[inverse], np.cumsum(sizes)[:-1])
+        return pa.table({"block": table.column("block"), "part": pa.array([key[0].as_py()] * len(asked), pa.int64()), "n": table.column("n"), "totals": pa.array([pack(x) for x in mine], pa.binary())})
 
-    requests = dealt.groupBy("block").applyInArrow(ask, "part long, block long, types binary, counts binary")
-    answers = requests.groupBy("part").applyInArrow(answer, "block long, part long, totals binary")
+    requests = dealt.groupBy("block").applyInArrow(ask, "part long, block long, n long, types binary, counts binary")
+    answers = requests.groupBy("part").applyInArrow(answer, "block long, part long, n long, totals binary")
 
     def look_up(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         n, _, g = _block(table, order)
         types, _ = _types(g)
         order_of = np.argsort(replies.column("part").to_numpy(), kind="stable").tolist()
-        got = replies.column("totals").to_pylist()
-        totals = np.concatenate([unpack(got[i]) for i in order_of]) if got else np.zeros(0, np.uint64)
+        got, sizes = replies.column("totals").to_pylist(), replies.column("n").to_pylist()
+        totals = np.concatenate([unpack(got[i], sizes[i]) for i in order_of]) if got else np.zeros(0, np.uint64)
         assert len(totals) == len(types), "a block's documents changed between two reads"
         corpus = float(totals[-1])
         of = [np.where(x > 0, totals[np.searchsorted(types, x)], 0).astype(np.float64) for x in g]
