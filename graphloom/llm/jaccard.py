@@ -4,11 +4,13 @@ Texts are sets of five-word shingles (a shorter text: its words, as one shingle)
 one copy class; only one of each class goes on, so copies are never expanded into pairs.
 
 1. MinHash signatures; classes that agree on a whole band of BAND_ROWS values are candidates. A pair at the
-   threshold 0.8 misses all BANDS bands with probability (1 - 0.8**5)**24 = 7e-5.
-2. The two signatures of a candidate are compared STEP values at a time. With a uniform prior, after m matches
-   among n values the similarity is Beta(m+1, n-m+1); once P(similarity >= threshold) falls below TOLERANCE the
-   pair is dropped.
-3. The others are verified on the exact shingle sets.
+   threshold 0.8 misses all BANDS bands with probability (1 - 0.8**5)**24 = 7e-5. A band's classes are linked to
+   the least one, a star; the components of all stars are dealt to blocks of about BLOCK classes.
+2. Within a component each pair of blocks is one unit of work. The signatures of a pair are compared STEP values
+   at a time. With a uniform prior, after m matches among n values the similarity is Beta(m+1, n-m+1); once
+   P(similarity >= threshold) falls below TOLERANCE the pair is dropped.
+3. The others are verified on the exact shingle sets. A unit returns numbers of links, and links enough to connect
+   what is connected: never one row for each pair.
 4. Links make groups: connected components by alternating large-star and small-star rounds, each round cut off
    by a table in the shared folder. Nothing but counts reaches the driver.
 
@@ -34,6 +36,7 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 24, 5
 HASHES = BANDS * BAND_ROWS
 STEP, TOLERANCE = 8, 1e-6
+BLOCK = 1024
 
 _seeds = np.random.default_rng(20240607)
 _A = _seeds.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,23 +96,14 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, ha
     return tuple(out)
 
 
-def prune(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows of two signature matrices are kept."""
-    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
+def prune(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (row i of a, row j of b) of two signature matrices are kept."""
+    alive, matches = np.arange(len(i)), np.zeros(len(i), np.int32)
     for k, least in enumerate(least_matches()):
         part = slice(k * STEP, (k + 1) * STEP)
-        matches[alive] += (a[alive, part] == b[alive, part]).sum(axis=1, dtype=np.int32)
+        matches[alive] += (a[i[alive], part] == b[j[alive], part]).sum(axis=1, dtype=np.int32)
         alive = alive[matches[alive] >= least]
-    kept = np.zeros(len(a), bool)
-    kept[alive] = True
-    return kept
-
-
-def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        if rows.num_rows:
-            a, b = (np.frombuffer(b"".join(rows.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
-            yield rows.select([0, 1]).filter(pa.array(prune(a, b)))
+    return alive
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,16 +111,73 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([rows.column(0), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["id", "shingles"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        keep = []
-        for x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([a, b])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(shared >= THRESHOLD * (len(a) + len(b) - shared))
-        yield rows.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each of ``b``, exactly: products of incidence matrices."""
+    sizes = [len(x) for x in (*a, *b)]
+    _, inverse, times = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    row, common = np.repeat(np.arange(len(sizes)), sizes), times[inverse] > 1
+    row, number = row[common], (np.cumsum(times > 1) - 1)[inverse[common]]
+    out = np.zeros((len(a), len(b)), np.float32)
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    width = int(number[-1]) + 1 if len(number) else 0
+    for begin in range(0, width, 4096):
+        lo, hi = np.searchsorted(number, [begin, begin + 4096])
+        m = np.zeros((len(sizes), min(4096, width - begin)), np.float32)
+        m[row[lo:hi], number[lo:hi] - begin] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def similar(signs_a: np.ndarray, sets_a: list[np.ndarray], signs_b: np.ndarray | None = None, sets_b: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the similar pairs of two blocks, or within one: Bayesian pruning, then exact verification."""
+    one = signs_b is None
+    i, j = np.triu_indices(len(sets_a), 1) if one else (x.ravel() for x in np.indices((len(sets_a), len(sets_b))))
+    signs_b, sets_b = (signs_a, sets_a) if one else (signs_b, sets_b)
+    kept = prune(signs_a, signs_b, i, j)
+    i, j = i[kept], j[kept]
+    if not len(i):
+        return i, j
+    rows, ri = np.unique(i, return_inverse=True)
+    columns, cj = np.unique(j, return_inverse=True)
+    shared = _shared([sets_a[x] for x in rows], [sets_b[x] for x in columns])[ri, cj]
+    union = np.fromiter(map(len, sets_a), np.float64)[i] + np.fromiter(map(len, sets_b), np.float64)[j] - shared
+    ok = shared >= THRESHOLD * union
+    return i[ok], j[ok]
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Of the block pairs in ``table``: for each class with links their number, and a class that it is linked to,
+    such that these links connect what all links connect."""
+    root, p, q, b, ids = (table.column(k).to_numpy() for k in ("root", "p", "q", "b", "id"))
+    signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(-1, HASHES)
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    order = np.lexsort((ids, b, q, p, root))
+    cut = np.flatnonzero((np.diff(root[order]) != 0) | (np.diff(p[order]) != 0) | (np.diff(q[order]) != 0)) + 1
+    out: list[tuple[np.ndarray, ...]] = []
+    for at in np.split(order, cut):
+        left, right = (at[b[at] == p[at[0]]], at[b[at] == q[at[0]]]) if p[at[0]] != q[at[0]] else (at, None)
+        if right is None:
+            i, j = similar(signs[left], [sets[x] for x in left])
+            u, v = left[i], left[j]
+        else:
+            i, j = similar(signs[left], [sets[x] for x in left], signs[right], [sets[x] for x in right])
+            u, v = left[i], right[j]
+        if len(u):
+            named, ends = np.unique(np.concatenate([ids[u], ids[v]]), return_inverse=True)
+            x, y = ends[: len(u)], ends[len(u) :]
+            label = np.arange(len(named))
+            while True:
+                low = np.minimum(label[x], label[y])
+                new = label.copy()
+                np.minimum.at(new, x, low)
+                np.minimum.at(new, y, low)
+                if (new == label).all():
+                    break
+                label = new
+            out.append((named, named[label], np.bincount(ends, minlength=len(named))))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    return pa.table([pa.array(c, pa.int64()) for c in columns], ["id", "to", "n"])
 
 
 def signatures(documents: DataFrame) -> DataFrame:
@@ -136,22 +187,26 @@ def signatures(documents: DataFrame) -> DataFrame:
 
 
 def links(documents: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs a < b of ids, the least ones of their copy classes, with a similarity of THRESHOLD or more."""
+    """id, to, n: for the least id of each copy class its similar classes, counted in parts (n), and links (to)
+    that connect what all links connect. A table in the shared folder."""
     least = signed.where("sign IS NOT NULL AND doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("id"))
     # by the id: copies never meet in one task
     one = signed.where("sign IS NOT NULL").withColumnRenamed("doc_id", "id").join(least, ["id", "copy"], "left_semi").dropDuplicates(["id", "copy"])
-    one = materialize(one)
+    one = materialize(one.select("id", "bands", "sign"))
     keys = one.select("id", F.explode("bands").alias("key"))
-    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    signs = one.select("id", "sign")
-    both = pairs.join(signs.select(F.col("id").alias("a"), F.col("sign").alias("sa")), "a").join(signs.select(F.col("id").alias("b"), F.col("sign").alias("sb")), "b")
-    kept = materialize(both.select("a", "b", "sa", "sb").mapInArrow(_pruned, "a long, b long"))
-    ids = kept.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id")
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
+    stars = keys.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    near = components(materialize(stars))
+    blocks = near.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = materialize(near.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    small = max(1, placed.count() // (2 * BLOCK))
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(placed.select("id"), "id")
     # an id that stands on several texts: each of them may be the one that is linked
-    sets = texts.mapInArrow(_sets, "id long, shingles binary")
-    full = kept.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return materialize(full.select("a", "b", "sa", "sb").mapInArrow(_verified, "a long, b long").distinct())
+    sets = texts.mapInArrow(_sets, "id long, shingles binary").dropDuplicates()
+    full = placed.join(one.select("id", "sign"), "id").join(sets, "id")
+    paired = full.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("b", "c")).withColumn("q", F.greatest("b", "c"))
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(small))).otherwise(F.xxhash64("root", "p", "q"))
+    return materialize(paired.select(unit.alias("unit"), "root", "p", "q", "b", "id", "sign", "shingles").groupBy("unit").applyInArrow(_compare, "id long, to long, n long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -181,8 +236,8 @@ def classes(documents: DataFrame) -> DataFrame:
     signed = signatures(documents)
     found = links(documents, signed)
     of = signed.where("doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("copy_id"))
-    ends = found.select(F.explode(F.array("a", "b")).alias("copy_id")).groupBy("copy_id").agg(F.count("*").alias("n_links"))
-    roots = components(found).withColumnRenamed("id", "copy_id")
+    ends = found.groupBy(F.col("id").alias("copy_id")).agg(F.sum("n").alias("n_links"))
+    roots = components(found.select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "copy_id")
     of = of.join(ends, "copy_id", "left").join(roots, "copy_id", "left")
     out = signed.select("doc_id", "copy").join(of, "copy", "left")
     known = F.col("doc_id").isNotNull()
