@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..errors import UnsupportedQuery
 from ..functions.expressions import Compiler, Env, Value, harmonised, term
-from ..functions.terms import BOOLEAN, DOUBLE, FLOAT, INTEGER, INTEGERS, IRI, MIXED, NONE, STRING, TERM, RdfType, is_numeric, lexical, promote, spark_type
+from ..functions.terms import BOOLEAN, DOUBLE, FLOAT, INTEGER, INTEGERS, IRI, MIXED, NONE, STRING, RdfType, is_numeric, lexical, promote, spark_type
 from ..operators.paths import Paths
 from ..operators.store import GraphStore, Piece, Table
 from ..sources.templates import Blank, Iri, Literal, Var
@@ -207,8 +207,6 @@ class Planner:
 
     def join(self, a: Solutions, b: Solutions, how: str = "inner", condition=None) -> Solutions:
         a, b, shared = self._keys(a, b)
-        if how in ("left_semi", "left_anti") or not shared or condition is not None or (a.maybe | b.maybe) & set(shared):
-            pass
         on, picked = None, {}
         for n in shared:
             x, y = F.col(a.vars[n][0]), F.col(b.vars[n][0])
@@ -286,14 +284,13 @@ class Planner:
         patterns: list = []
         _collect_exists(e, patterns)
         env = s.env()
-        for i, pattern in enumerate(patterns):
+        for pattern in patterns:
             mark, row = fresh(), fresh()
             keyed = Solutions(s.frame.withColumn(row, F.struct(*[F.col(c) for c, _ in s.vars.values()]) if s.vars else F.lit(0)), s.vars, s.maybe)
             hits = self._correlated(keyed, pattern, "left_semi").frame.select(F.col(row).alias(f"{row}h")).distinct().withColumn(mark, F.lit(True))
             joined = keyed.frame.join(hits, F.col(row).eqNullSafe(F.col(f"{row}h")), "left").withColumn(mark, F.coalesce(mark, F.lit(False))).drop(row, f"{row}h")
             s = Solutions(joined, s.vars, s.maybe)
             env[f"#exists{id(pattern)}"] = Value(F.col(mark), BOOLEAN)
-            del i
         return s, env
 
     def compile(self, s: Solutions, e: tuple) -> tuple[Solutions, Value]:
@@ -427,6 +424,8 @@ class Planner:
                 column, kind = column["lex"].try_cast("double"), DOUBLE
             elif kind == BOOLEAN:
                 column, kind = column.cast("bigint"), INTEGER
+            elif kind == NONE:
+                return F.count(column), INTEGER  # of nothing: 0
             elif not is_numeric(kind):
                 return F.first(F.lit(None).cast("double")), DOUBLE
             whole = kind.datatype in INTEGERS
@@ -510,5 +509,3 @@ def _collect_exists(e, out: list) -> None:
         for x in e:
             _collect_exists(x, out)
 
-
-__all__ = ["Planner", "Solutions", "TERM"]
