@@ -171,7 +171,8 @@ def fit(pages: DataFrame, bound: int = FIT_PAGES) -> dict[str, float]:
         yield pa.record_batch([pa.array([k for k, _ in sums], pa.string()), pa.array([i for _, i in sums], pa.bool_()), pa.array(list(sums.values()), pa.int64())], ["kind", "inside", "n"])
 
     # a page with an unusual name for a tag adds little; only kinds that stand on several pages reach the driver
-    drawn = pages.orderBy(F.xxhash64("page_id"), "page_id").limit(bound).select("html")
+    ids = pages.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(bound).distinct()
+    drawn = pages.join(F.broadcast(ids), "page_id").select("html")  # as many ids as the bound says
     found = drawn.mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "inside").limit(1000).collect()
     return weights(Counter({(r["kind"], r["inside"]): r["n"] for r in found}))
 
