@@ -356,3 +356,15 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
         assert out.columns == part.columns and out.count() <= part.count()
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert 4 not in {r.doc_id for r in packed.collect()} and packed.count() > 20
+
+
+def test_passages_beside_text_that_stands_elsewhere():
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage, line = word(80), word(14)
+    near = passage[:40] + ["changed"] + passage[41:]
+    held = passage + word(300) + line
+    for copy, begin in ((near + line, 0), (line + near, 14), (line + near + line, 14)):
+        a, b = (words_of([" ".join(x)]).shingles(5)[0][: len(x) - 4] for x in (copy, held))
+        (i, j, s), = substrings.passages(a, b)
+        assert (i, j) == (begin, begin + 76) and s == 71 / 81
