@@ -358,6 +358,21 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     assert 4 not in {r.doc_id for r in packed.collect()} and packed.count() > 20
 
 
+def test_passages_shared_behind_partial_holders(spark):
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(40):
+        p, line = text(60), text(20)
+        parts = [p[:40], p[20:], p[:45], p[15:], line, line, p, p]
+        for i, part in enumerate(parts):
+            rows.append((8 * k + i, " ".join(text(70) + part + text(70))))
+        want.add((8 * k + 7, 8 * k + 6))
+    got = substrings.duplicate_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.holder_id) for r in got} == want
+    assert all(r.n_words >= 50 and r.similarity >= 0.8 for r in got)
+
+
 def test_passages_beside_text_that_stands_elsewhere():
     rng = np.random.default_rng(4)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
