@@ -4,7 +4,10 @@ A page is read as a sequence of tags and pieces of text. A word scores positive
 that are learned from labelled pages: the log odds of the word or the kind of tag inside the main content
 against outside, kept above zero for words and below zero for tags. One scan (Kadane's) finds the contiguous
 region with the highest sum. Text in elements that are never content (navigation, site headers and footers,
-asides, forms, adverts, notices, comments, scripts, styles) scores nothing and is left out of the region.
+asides, forms, adverts, notices, comments, scripts, styles) scores nothing and is left out of the region. Such an
+element is known by its name or by a whole word of its class, id or role. One that holds the largest article or main
+element, or one of half its words, is a wrapper and not left out; so is one with more than half of the page's words if
+there is no such element, and a form with more than half of the words of the largest.
 
 Labelled pages are those with exactly one article or main element; at most FIT_PAGES of them are counted.
 
@@ -17,9 +20,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -35,9 +40,9 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^'
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas"}
 _ASIDE = {"nav", "aside", "form", "button", "select", "footer", "header", "dialog", "menu", "figure-nav", "label", "head"}
 _WORDS_ASIDE = re.compile(
-    r"(?:^|[\s_-])(ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|"
+    r"(?:^|\s)(ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|"
     r"overlay|newsletter|subscribe|subscription|signup|login|comment|comments|disqus|respond|replies|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumb|breadcrumbs|"
-    r"pagination|pager|related|recommended|share|sharing|social|footer|masthead|widget|toolbar|complementary|search|contentinfo)(?:$|[\s_-])",
+    r"pagination|pager|related|recommended|share|sharing|social|footer|masthead|widget|toolbar|complementary|search|contentinfo)(?:$|\s)",
     re.I,
 )
 #: Elements that do not end a line of text.
@@ -67,15 +72,21 @@ def tokens(page: str) -> list[Token]:
                 at = close.end() if close else len(page) if name in ("script", "style") else at
     if at < len(page):
         found.append(["", page[at:], ""])
-    # which elements are closed: by a scan from the end, one counter for each name
-    closed, waiting = [False] * len(found), Counter()
+    # which elements are closed, and where: by a scan from the end, one list of closing tags for each name
+    closed, end, waiting = [False] * len(found), [0] * len(found), defaultdict(list)
     for i in range(len(found) - 1, -1, -1):
         kind = found[i][0]
         if kind[:1] == "/":
-            waiting[kind[1:]] += 1
+            waiting[kind[1:]].append(i)
         elif kind and waiting[kind]:
-            waiting[kind] -= 1
+            end[i] = waiting[kind].pop()
             closed[i] = True
+    # how many words stand before each token; the article and main elements that are not small beside the largest one
+    words = list(accumulate((len(text.split()) if not kind else 0 for kind, text, _ in found), initial=0))
+    within = lambda i: words[end[i]] - words[i]
+    large = [i for i, (kind, _, _) in enumerate(found) if kind in _CONTENT and closed[i]]
+    most = max(map(within, large), default=words[-1])
+    large = [i for i in large if 2 * within(i) >= most]
     out: list[Token] = []
     skip, depth, content = "", 0, 0
     for i, (kind, text, attributes) in enumerate(found):
@@ -95,7 +106,8 @@ def tokens(page: str) -> list[Token]:
             aside = name in _ASIDE and not (name == "header" and content > 0)
             if not aside and attributes:
                 aside = any(_WORDS_ASIDE.search(a or b or c) for _, a, b, c in _ATTRIBUTE.findall(attributes))
-            if aside:
+            # what holds such an article, or most of the words where none tells (a form: everywhere), is a wrapper
+            if aside and bisect(large, i) == bisect(large, end[i]) and not ((name == "form" or not large) and 2 * within(i) > most):
                 skip, depth = name, 1
                 out.append((kind + "!", "", True))
                 continue

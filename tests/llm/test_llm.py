@@ -383,3 +383,17 @@ def test_passages_beside_text_that_stands_elsewhere():
         a, b = (words_of([" ".join(x)]).shingles(5)[0][: len(x) - 4] for x in (copy, held))
         (i, j, s), = substrings.passages(a, b)
         assert (i, j) == (begin, begin + 76) and s == 71 / 81
+
+
+def test_main_text_inside_wrappers():
+    weight = html.DEFAULT
+    article = "<article><p>One two three four</p></article>"
+    aside = "<div class='comments'><p>I liked it</p></div><form><label>Find it</label></form>"
+    for open_, shut in (("<div class='layout has-sidebar'>", "</div>"), ("<div class='with-nav'>", "</div>"), ("<section id='social-policy'>", "</section>"), ("<div class='post-comments-enabled'>", "</div>"), ("<form action='/'>", "</form>"), ("<div id='sidebar'>", "</div>")):
+        assert html.main_text(f"<body>{open_}{article}{shut}{aside}</body>", weight) == "One two three four"
+        assert html.main_text(f"<body>{open_}<p>One two three four five six seven eight</p>{shut}{aside}</body>", weight) == "One two three four five six seven eight"
+        assert html.main_text(f"<body>{open_}{article}{aside}{shut}</body>", weight) == "One two three four"
+    long = "<div id='comments'><article><p>" + "I liked it " * 3 + "</p></article><article>So did I</article></div>"
+    words = "word " * 40
+    assert html.main_text(f"<body><main><p>{words}</p></main>{long}</body>", weight) == words.strip()
+    assert html.main_text(f"<body><main><form><p>{words}</p></form></main></body>", weight) == words.strip()
