@@ -4,7 +4,8 @@ Open bins stand ordered by their residual capacity. Each carries bitmaps: one of
 holds, and for sources one bitmap for each of the ``per_source`` places (bit set in the k-th: k documents of
 this source are in). A piece goes to the tightest bin that takes it: the search starts at the smallest residual
 that is large enough and goes on to each successor until a bin is compatible; else a new bin opens. Two
-documents of one cluster never share a bin, nor do more than ``per_source`` of one source.
+documents of one cluster never share a bin, nor do more than ``per_source`` of one source. The query's clusters are
+the groups of near copies.
 
 A document longer than the capacity is cut; its full pieces are bins of their own and the rest is packed.
 Documents are dealt to shards by a hash of their ids; each shard of about SHARD_ROWS documents is packed by
@@ -24,6 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from . import jaccard
+from .common import materialize
+
 #: Code points in a bin.
 CAPACITY = 16384
 #: Documents of one source that may share a bin.
@@ -92,7 +96,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, per_source: int = PER_S
     """Spans of ``documents(doc_id, text, source)`` with the bins they go to: SCHEMA, in code points.
 
     ``cluster`` is the column expression of the duplicate cluster; texts alike but for case and white space
-    are one cluster unless it is given."""
+    are one cluster unless it is given. ``pack_apart`` gives that of near copies."""
     text = F.coalesce(F.col("text"), F.lit(""))
     if cluster is None:
         cluster = F.xxhash64(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "))
@@ -108,3 +112,15 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, per_source: int = PER_S
     filled = rows.where("size > 0").groupBy(shard.alias("shard")).applyInPandas(run, SCHEMA)
     none = rows.where("size = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), "size", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("int").alias("slot"))
     return filled.unionByName(none)
+
+
+def pack_apart(documents: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``pack`` with the groups of near copies of ``jaccard.classes`` as clusters; rows without an id have the hash
+    of their text. Rows that share an id share its least class."""
+    docs = documents.select(F.col("doc_id").cast("long"), "text", "source")
+    # a row for each id, and only for those whose class is not their own
+    found = jaccard.classes(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("class_id")).where("class_id <> doc_id")
+    found = found.withColumnRenamed("doc_id", "__id")
+    joined = materialize(docs.join(found, docs["doc_id"] == found["__id"], "left").drop("__id"))
+    text = F.regexp_replace(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+", " ")
+    return pack(joined, capacity, per_source, shard_rows, F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.coalesce("class_id", "doc_id")))

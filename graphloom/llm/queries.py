@@ -24,7 +24,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"))
+    return packing.pack_apart(read(spark, sf_dir, "documents"))
 
 
 def op3_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -397,3 +397,19 @@ def test_main_text_inside_wrappers():
     words = "word " * 40
     assert html.main_text(f"<body><main><p>{words}</p></main>{long}</body>", weight) == words.strip()
     assert html.main_text(f"<body><main><form><p>{words}</p></form></main></body>", weight) == words.strip()
+
+
+def test_packing_keeps_near_copies_apart(spark, tmp_path):
+    from graphloom.llm import queries
+
+    rng = random.Random(8)
+    text = [f"w{rng.randint(0, 99)}" for _ in range(100)]
+    near = lambda i: " ".join([*text[:i], "changed", *text[i + 1 :]] if i % 2 else [*text, f"line {i}"])
+    rows = [(i, near(i), None) for i in range(20)] + [(100 + i, f"short text {i}", None) for i in range(20)]
+    rows += [(None, "no id", None), (None, "no  ID", None), (0, near(0), None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    copies = [r.bin for r in got if r.doc_id is not None and r.doc_id < 20]
+    assert len(copies) == 21 == len(set(copies))
+    assert len({r.bin for r in got if r.doc_id is None}) == 2 and len({r.bin for r in got}) == 21
