@@ -29,6 +29,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import materialize
+
 UNIT = 192
 
 #: The order in which a JPEG block's 64 coefficients are stored (zigzag position -> row * 8 + column).
@@ -472,11 +474,12 @@ def tensors(media: Column) -> Column:
 DESCRIPTION = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _described(images: pd.Series) -> pd.DataFrame:
+def _described(images: pd.Series, stored: pd.DataFrame | None = None) -> pd.DataFrame:
     out = []
-    for data in images:
+    for i, data in enumerate(images):
         image = read_jpeg(data)
-        payload, rgb = payload_of(image), to_rgb(image)
+        payload = payload_of(image)
+        rgb = to_rgb(image) if stored is None else np.frombuffer(stored["rgb"].iloc[i], np.uint8).reshape(stored["height"].iloc[i], stored["width"].iloc[i], 3)
         pixels = rgb.reshape(-1, 3)
         mean = pixels.mean(axis=0, dtype=np.float64)
         deviation = np.sqrt(np.maximum(0, np.square(pixels, dtype=np.uint32).mean(axis=0, dtype=np.float64) - mean**2))
@@ -502,5 +505,16 @@ def media(documents: DataFrame) -> DataFrame:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """Of ``media``'s rows: what reading them back shows."""
-    return stored.select("doc_id", "n_bytes", describe(F.col("media")).alias("d")).select("doc_id", "n_bytes", "d.*")
+    """Of ``media``'s rows: what reading them back shows. A stored tensor, if there, is read, not made anew."""
+
+    @F.pandas_udf(DESCRIPTION)
+    def both(images: pd.Series, found: pd.DataFrame) -> pd.DataFrame:
+        return _described(images, found)
+
+    d = both("media", "tensor") if "tensor" in stored.columns else describe(F.col("media"))
+    return stored.select("doc_id", "n_bytes", d.alias("d")).select("doc_id", "n_bytes", "d.*")
+
+
+def stored(documents: DataFrame) -> DataFrame:
+    """``media``'s rows with their full-resolution RGB tensors, as a table in the shared folder."""
+    return materialize(media(documents).withColumn("tensor", tensors(F.col("media"))))

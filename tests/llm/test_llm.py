@@ -413,3 +413,12 @@ def test_packing_keeps_near_copies_apart(spark, tmp_path):
     copies = [r.bin for r in got if r.doc_id is not None and r.doc_id < 20]
     assert len(copies) == 21 == len(set(copies))
     assert len({r.bin for r in got if r.doc_id is None}) == 2 and len({r.bin for r in got}) == 21
+
+
+def test_jpeg_tensors_are_stored(docs):
+    table = jpeg.stored(docs)
+    for r in table.collect():
+        rgb = jpeg.to_rgb(jpeg.read_jpeg(bytes(r.media)))
+        assert (r.tensor.height, r.tensor.width, bytes(r.tensor.rgb)) == (*rgb.shape[:2], rgb.tobytes())
+    digests = lambda df: sorted(map(str, jpeg.digests(df).collect()))
+    assert digests(table) == digests(jpeg.media(docs))
