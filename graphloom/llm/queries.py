@@ -12,13 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import decontaminate, html, jaccard, jpeg, lm, packing, quality, revisits, sharding, substrings
 from .common import read
 
-ID = F.col("doc_id")
-
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(documents, quality.learning_labels(read(spark, sf_dir, "labels")))
-    held_out = F.coalesce(F.crc32(ID.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     score = F.col(quality.SCORE)
     return quality.score(documents, model).select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
