@@ -24,19 +24,35 @@ _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, as in tests, under a temporary one."""
+    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, under a temporary one, if all runs on
+    this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage is cut, every executor sees it."""
+def materialize(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: its lineage is cut, every executor sees it.
+    The tables ``spent``, which nothing later reads, are deleted then."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._graphloom_folder = path
+    discard(*spent)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of tables that ``materialize`` wrote."""
+    for df in frames:
+        path = getattr(df, "_graphloom_folder", None)
+        if path:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
