@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Code points handled in one vectorised pass; a longer document makes a pass of its own.
 CHUNK_CHARS = 1 << 17
@@ -155,3 +155,19 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tu
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def without_spans(rows: DataFrame, spans: str) -> DataFrame:
+    """``rows`` whose text lacks what the column ``spans`` (begin, end in code points, in order, or null) covers.
+    Column n_chars, if there, follows the text."""
+    # what stands between the spans: the furthest end so far is carried along
+    kept = F.aggregate(
+        spans, F.struct(F.lit("").alias("s"), F.lit(0).alias("at")),
+        lambda acc, x: F.struct(F.concat(acc["s"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["begin"] - acc["at"], F.lit(0)))).alias("s"), F.greatest(acc["at"], x["end"]).alias("at")),
+        lambda acc: F.concat(acc["s"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))),
+    )
+    had = F.col(spans).isNotNull()
+    out = rows.withColumn("text", F.when(had, kept).otherwise(F.col("text")))
+    if "n_chars" in rows.columns:
+        out = out.withColumn("n_chars", F.when(had, F.char_length("text").cast(rows.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out

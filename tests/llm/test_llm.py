@@ -422,3 +422,73 @@ def test_jpeg_tensors_are_stored(docs):
         assert (r.tensor.height, r.tensor.width, bytes(r.tensor.rgb)) == (*rgb.shape[:2], rgb.tobytes())
     digests = lambda df: sorted(map(str, jpeg.digests(df).collect()))
     assert digests(table) == digests(jpeg.media(docs))
+
+
+def drifting(words_in: int, changes: int, groups: int, seed: int):
+    """Unlike documents with passages of ``words_in`` words, each copy of which changes ``changes`` more words than the
+    one before; and the pairs (copy, earlier copy) of passages whose similarity is 0.8 or more."""
+    rng = random.Random(seed)
+    text = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    sets = lambda w: set(zip(*[w[k:] for k in range(5)], strict=False))
+    rows, need = [], set()
+    for g in range(groups):
+        p, copies = text(words_in), []
+        for k in range(5):
+            copies.append(list(p))
+            for _ in range(changes):
+                p[rng.randrange(len(p))] = text(1)[0]
+            rows.append((10 * g + k, " ".join(text(60) + copies[-1] + text(60))))
+        need |= {10 * g + b for a, b in itertools.combinations(range(5), 2) if len(sets(copies[a]) & sets(copies[b])) >= 0.8 * len(sets(copies[a]) | sets(copies[b]))}
+    return rows, need
+
+
+def test_passages_that_drift(spark):
+    for words_in in (60, 100):
+        rows, need = drifting(words_in, 1, 100, words_in)
+        got = substrings.duplicate_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert len(need & {r.doc_id for r in got}) >= 0.95 * len(need) > 300
+
+
+def test_exact_passages_behind_many_partial_holders(spark):
+    """More documents than are linked share parts of the passage, so that only its whole runs tell."""
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(20):
+        p = text(52)
+        parts = [p, *[p[a:] if a % 2 else p[:-a] for a in rng.sample(range(4, 12), 8) for _ in range(3)], p]
+        for i, part in enumerate(parts):
+            rows.append((100 * k + i, " ".join(text(70) + part + text(70))))
+        want.add((100 * k + len(parts) - 1, 100 * k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.holder_id) for r in substrings.duplicate_spans(docs).collect()}
+    assert want <= got
+
+
+def test_whole_windows_and_regions():
+    rng = random.Random(6)
+    for _ in range(200):
+        windows = [{"number": rng.randrange(5), "begin": (b := rng.randrange(60)), "end": b + rng.randint(1, 40)} for _ in range(rng.randint(1, 12))]
+        covered = [x for x in range(101) if all(any(w["begin"] <= x < w["end"] for w in windows if w["number"] == k) for k in range(5))]
+        assert [x for a, b in substrings.whole_windows(windows) for x in range(a, b)] == covered
+    link = lambda n, a, b, c, d: {"number": n, "begin": a, "end": b, "h_begin": c, "h_end": d}
+    assert substrings.regions([link(0, 0, 10, 50, 60), link(1, 5, 20, 55, 70), link(2, 15, 30, 500, 510), link(3, 40, 50, 90, 99)]) == [(0, 20, 50, 70)]
+
+
+def test_repeated_ids_have_their_own_spans(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(n))
+    p, other = text(80), text(120)
+    docs = spark.createDataFrame([(1, p), (2, p), (2, other), (3, other + " " + p)], "doc_id long, text string")
+    assert sorted(map(tuple, substrings.cut_duplicates(docs).collect())) == [(1, p), (2, other)]
+
+
+def test_best_window_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        own, b = rng.integers(0, 12, rng.integers(1, 9)), rng.integers(0, 12, rng.integers(1, 20))
+        size = int(rng.integers(1, 25))
+        before = np.array([max([k for k in range(p) if b[k] == b[p]], default=-1) for p in range(len(b))])
+        sets = [set(b[k : k + size].tolist()) for k in range(max(1, len(b) - size + 1))]
+        mine = set(own.tolist())
+        assert abs(substrings._best_window(own, b, before, size) - max(len(mine & x) / len(mine | x) for x in sets)) < 1e-9
