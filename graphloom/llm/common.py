@@ -55,6 +55,12 @@ def discard(*frames: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def size_on_disk(table: DataFrame) -> int:
+    """Bytes of a table that ``materialize`` wrote."""
+    folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._graphloom_folder)
+    return folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of uint64 values."""
     x = x ^ (x >> np.uint64(32))

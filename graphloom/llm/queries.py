@@ -48,7 +48,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("leaked", "h")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,16 +112,25 @@ roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id), degree AS (SELEC
 SELECT k.doc_id, coalesce(roots.root, c.id) AS class_id, c.id AS copy_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links
 FROM k JOIN c USING (k) LEFT JOIN roots ON roots.id = c.id LEFT JOIN degree ON degree.id = c.id""",
     "op8_decontamination": r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 v AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(w), 13) AS n, array_to_string(w[p:p+12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
-d AS (SELECT doc_id, p, n, array_to_string(w[p:p+n-1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM w, (SELECT DISTINCT n FROM v) WHERE len(w) >= n)),
-h AS (SELECT DISTINCT doc_id, p, n, item FROM d JOIN v USING (n, g)),
-hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM h) GROUP BY 1),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+d AS (SELECT r, p, n, array_to_string(w[p:p+n-1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM w, (SELECT DISTINCT n FROM v) WHERE len(w) >= n)),
+h AS (SELECT DISTINCT r, p, n, item FROM d JOIN v USING (n, g)),
+hit AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS x FROM h) GROUP BY 1),
+it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY 1),
+t AS (SELECT r, generate_subscripts(w, 1) AS p, unnest(w) AS t FROM w),
+b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, array_to_string(w, ' ') AS g, unnest(w) AS t FROM i),
+c AS (SELECT t, count(*) AS n FROM t WHERE t IN (SELECT t FROM b) GROUP BY t),
+k AS (SELECT item, g, t, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY item, g ORDER BY coalesce(n, 0), encode(t)) AS k FROM b LEFT JOIN c USING (t)),
+q AS (SELECT item, g, max(k) - 1 AS others, min(n) AS least FROM k WHERE k <= 4 GROUP BY item, g HAVING max(k) > 1 AND min(n) > 0),
+a AS (SELECT t.r, q.item, q.g, q.others, t.p FROM q JOIN k ON k.item IS NOT DISTINCT FROM q.item AND k.g = q.g AND k.k = 1 JOIN t ON t.t = k.t),
+o AS (SELECT t.r, k.item, k.g, k.t, t.p FROM q JOIN k ON k.item IS NOT DISTINCT FROM q.item AND k.g = q.g AND k.k BETWEEN 2 AND 4 JOIN t ON t.t = k.t),
+f AS (SELECT a.r, a.item, a.g, a.p, a.others FROM a JOIN o ON a.r = o.r AND a.item IS NOT DISTINCT FROM o.item AND a.g = o.g AND abs(a.p - o.p) <= 12 GROUP BY ALL HAVING count(DISTINCT o.t) = a.others),
+m AS (SELECT r, count(DISTINCT item) AS n_near FROM f GROUP BY r)
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM w LEFT JOIN hit USING (r) LEFT JOIN it USING (r) LEFT JOIN m USING (r)""",
     "op10_revisits": r"""
 WITH p AS (SELECT page_id, html, md5(html) AS tag, ((page_id * 7919) % 2592000) AS sec, url,
   regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS bare FROM pages),

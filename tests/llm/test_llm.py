@@ -286,13 +286,38 @@ def test_decontamination(spark, docs, empty):
                     ids |= windows[tuple(w[k : k + n])] - {None}
         names = ",".join(sorted(map(str, ids)))
         want.append((str(r.doc_id), len(w), len(hit), len(ids), hashlib.sha256(names.encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
-    got = [(str(r[0]), *r[1:]) for r in decontaminate.contamination(docs, benchmark).collect()]
+    got = [(str(r[0]), *r[1:6]) for r in decontaminate.contamination(docs, benchmark).collect()]
     assert sorted(got) == sorted(want) and any(x[5] for x in want)
     assert decontaminate.contamination(empty, benchmark).count() == 0
     assert all(r.n_hit == 0 for r in decontaminate.contamination(docs, benchmark.limit(0)).collect())
     assert decontaminate.keep_uncontaminated(docs, benchmark).columns == docs.columns
-    d = spark.createDataFrame([(1, ["a", "x", "b", "a", "c"])], "doc long, words array<string>")
-    assert [tuple(r) for r in decontaminate.near(d, ["b", "a"], 3).orderBy("begin").collect()] == [(1, 0, 2), (1, 2, 3)]
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs = [(i, text(rng.randint(0, 60))) for i in range(60)]
+    items = [(i, text(rng.randint(1, 6))) for i in range(30)] + [(99, "a a"), (98, "none")]
+    counts = Counter(w for _, t in docs for w in t.split())
+    want = {}
+    for d, t in docs:
+        w, found = t.split(), set()
+        for i, x in items:
+            rare = sorted(set(x.split()), key=lambda w: (counts[w], w))[:4]
+            if len(rare) > 1 and any(a == rare[0] and all(any(y == b and abs(p - q) <= 12 for q, y in enumerate(w)) for b in rare[1:]) for p, a in enumerate(w)):
+                found.add(i)
+        want[d] = len(found)
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: r.n_near for r in got.collect()} == want and any(want.values())
+
+
+def test_benchmark_stage_catches_short_hits_in_long_texts(spark):
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(n))
+    item = text(60)
+    docs = [(1, text(20_000) + " " + item + " " + text(20)), (2, text(300)), (2, item), (3, " ".join(item.split()[5:18])), (4, " ".join(item.split()[5:17])), (None, None)]
+    kept = decontaminate.keep_uncontaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [docs[1], docs[4], docs[5]]))
 
 
 def test_main_text(spark):
