@@ -15,8 +15,8 @@ one copy class; only one of each class goes on, so copies are never expanded int
    by a table in the shared folder. Nothing but counts reaches the driver.
 
 Cases: null and wordless texts are classes by their equal (trimmed) texts and have no links; rows with a null id
-come back with nulls; repeated rows are copies and come back as often as they stand; an empty table gives no
-rows. Other columns are not read.
+come back with nulls; repeated rows are copies and come back as often as they stand; the texts of an id that stands on
+several are classes of their own; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -64,21 +64,26 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mix(least) >> np.uint64(32)).astype(np.uint32)
 
 
+def copy_key(shingles: np.ndarray, text: str | None) -> bytes:
+    """Alike for the texts of one copy class."""
+    return blake2b(shingles.tobytes() if len(shingles) else b"-" + (text or "").strip().encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in chunks(batches):
         sets = shingle_sets(texts)
         full = [len(s) > 0 for s in sets]
-        keys = [blake2b(s.tobytes() if f else b"-" + (t or "").strip().encode("utf-8", "surrogatepass"), digest_size=16).digest() for s, f, t in zip(sets, full, texts, strict=True)]
+        keys = [copy_key(s, t) for s, t in zip(sets, texts, strict=True)]
         signs = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, HASHES), np.uint32)
         bands = mix(signs.reshape(-1, BANDS, BAND_ROWS).astype(np.uint64) + np.uint64(1))
         band = np.full(bands.shape[:2], 0, np.uint64) + np.arange(BANDS, dtype=np.uint64)
         for k in range(BAND_ROWS):
             band = mix(band * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k])
         yield pa.record_batch([
-            rows.column(0), pa.array(keys, pa.binary()),
+            rows.column(0), rows.column(1), pa.array(keys, pa.binary()),
             pa.array([b.view(np.int64) if f else None for b, f in zip(band, full, strict=True)], pa.list_(pa.int64())),
             pa.array([s.tobytes() if f else None for s, f in zip(signs, full, strict=True)], pa.binary()),
-        ], ["doc_id", "copy", "bands", "sign"])
+        ], ["doc_id", "text_key", "copy", "bands", "sign"])
 
 
 @lru_cache(8)
@@ -108,7 +113,8 @@ def prune(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndar
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in chunks(batches):
-        yield pa.record_batch([rows.column(0), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["id", "shingles"])
+        sets = shingle_sets(texts)
+        yield pa.record_batch([pa.array([copy_key(s, t) for s, t in zip(sets, texts, strict=True)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["copy", "shingles"])
 
 
 def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -181,29 +187,41 @@ def _compare(table: pa.Table) -> pa.Table:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, copy (key of the copy class), bands, sign of each row; a table in the shared folder."""
-    docs = documents.select(F.col("doc_id").cast("long"), "text")
-    return materialize(docs.mapInArrow(_sign, "doc_id long, copy binary, bands array<long>, sign binary"))
+    """doc_id, text_key (a hash of the text), copy (key of the copy class), bands, sign of each row; a table in the
+    shared folder."""
+    docs = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    return materialize(docs.mapInArrow(_sign, "doc_id long, text_key long, copy binary, bands array<long>, sign binary"))
+
+
+def nodes(signed: DataFrame) -> DataFrame:
+    """copy, copy_id (its least id), id of each copy class. ``id`` is copy_id but for further classes of one id, which
+    have a hash."""
+    least = signed.where("doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("copy_id"))
+    first = least.groupBy("copy_id").agg(F.min("copy").alias("first"))
+    further = F.xxhash64("copy").bitwiseOR(F.lit(-(1 << 63)))
+    return least.join(first, "copy_id").select("copy", "copy_id", F.when(F.col("copy") == F.col("first"), F.col("copy_id")).otherwise(further).alias("id"))
 
 
-def links(documents: DataFrame, signed: DataFrame) -> DataFrame:
-    """id, to, n: for the least id of each copy class its similar classes, counted in parts (n), and links (to)
+def links(documents: DataFrame, signed: DataFrame, of: DataFrame) -> DataFrame:
+    """id, to, n: for each copy class of ``of`` (``nodes``) its similar classes, counted in parts (n), and links (to)
     that connect what all links connect. A table in the shared folder."""
-    least = signed.where("sign IS NOT NULL AND doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("id"))
     # by the id: copies never meet in one task
-    one = signed.where("sign IS NOT NULL").withColumnRenamed("doc_id", "id").join(least, ["id", "copy"], "left_semi").dropDuplicates(["id", "copy"])
-    one = materialize(one.select("id", "bands", "sign"))
+    least = of.select(F.col("copy_id").alias("doc_id"), "copy", "id")
+    one = signed.where("sign IS NOT NULL").join(least, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
+    one = materialize(one.select("id", F.col("doc_id").alias("copy_id"), "copy", "bands", "sign"))
     keys = one.select("id", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
     stars = keys.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    near = components(materialize(stars))
+    stars = materialize(stars)
+    near = components(stars)
     blocks = near.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = materialize(near.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     small = max(1, placed.count() // (2 * BLOCK))
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(placed.select("id"), "id")
-    # an id that stands on several texts: each of them may be the one that is linked
-    sets = texts.mapInArrow(_sets, "id long, shingles binary").dropDuplicates()
-    full = placed.join(one.select("id", "sign"), "id").join(sets, "id")
+    known = placed.join(one.select("id", "copy_id", "copy", "sign"), "id")
+    texts = documents.select(F.col("doc_id").cast("long").alias("copy_id"), "text").join(known.select("copy_id"), "copy_id", "left_semi")
+    # an id that stands on several texts: the one of this copy class
+    sets = texts.mapInArrow(_sets, "copy binary, shingles binary").dropDuplicates(["copy"])
+    full = known.join(sets, "copy")
     paired = full.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("b", "c")).withColumn("q", F.greatest("b", "c"))
     unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(small))).otherwise(F.xxhash64("root", "p", "q"))
     return materialize(paired.select(unit.alias("unit"), "root", "p", "q", "b", "id", "sign", "shingles").groupBy("unit").applyInArrow(_compare, "id long, to long, n long"))
@@ -211,7 +229,7 @@ def links(documents: DataFrame, signed: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """id, root (the least id of its connected component) for every id in ``edges(a, b)``."""
-    work = edges.select("a", "b").where("a <> b")
+    work, spent = edges.select("a", "b").where("a <> b"), []
     while True:
         both = work.unionByName(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -221,32 +239,43 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        new = materialize(small)
+        new = materialize(small, *spent)
         # done when every node has one parent that has none itself
         stars = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and new.join(new.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
-        work = new
+        work, spent = new, [new]
         if stars:
             break
     return work.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(work.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
+def _grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``signatures``, and for each copy class: copy, copy_id, class_id, n_links, kept (of its group the first)."""
+    signed = signatures(documents)
+    of = materialize(nodes(signed))
+    found = links(documents, signed, of)
+    ends = found.groupBy("id").agg(F.sum("n").alias("n_links"))
+    roots = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
+    grouped = roots.join(of, "id").groupBy("root").agg(F.min(F.struct("copy_id", "copy")).alias("least"))
+    linked = roots.join(grouped, "root").select("id", "least")
+    out = of.join(ends, "id", "left").join(linked, "id", "left")
+    kept = F.coalesce(F.col("least.copy") == F.col("copy"), F.lit(True))
+    return signed, out.select("copy", "copy_id", F.coalesce("least.copy_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"))
+
+
 def classes(documents: DataFrame) -> DataFrame:
     """For every row: doc_id, class_id (the least id of its group of near copies), copy_id (the least id of its
     exact copies), n_links (other copy classes that are similar to its own)."""
-    signed = signatures(documents)
-    found = links(documents, signed)
-    of = signed.where("doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("copy_id"))
-    ends = found.groupBy(F.col("id").alias("copy_id")).agg(F.sum("n").alias("n_links"))
-    roots = components(found.select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "copy_id")
-    of = of.join(ends, "copy_id", "left").join(roots, "copy_id", "left")
+    signed, of = _grouped(documents)
     out = signed.select("doc_id", "copy").join(of, "copy", "left")
     known = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(known, F.coalesce("root", "copy_id")).alias("class_id"), F.when(known, F.col("copy_id")).alias("copy_id"), F.when(known, F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    return out.select("doc_id", *[F.when(known, F.col(c)).alias(c) for c in ("class_id", "copy_id", "n_links")])
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One row of each group of near copies, that of the least id; rows without an id stay."""
-    found = classes(documents)
-    other = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = documents.join(other, "doc_id", "left_anti")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """One row of each group of near copies, one of the least id; rows without an id stay."""
+    signed, of = _grouped(documents)
+    first = of.where("kept").select(F.col("copy_id").alias("doc_id"), "copy")
+    least = signed.join(first, ["doc_id", "copy"]).groupBy("doc_id", "copy").agg(F.min("text_key").alias("text_key")).select(F.struct("doc_id", "text_key").alias("__key"))
+    known = documents.where("doc_id IS NOT NULL").select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")).alias("__of"), F.struct("*").alias("__row"))
+    kept = known.join(least, F.col("__of") == F.col("__key"), "left_semi").dropDuplicates(["__of"]).select("__row.*")
+    return kept.unionByName(documents.where("doc_id IS NULL"))

@@ -517,3 +517,25 @@ def test_best_window_against_brute_force():
         sets = [set(b[k : k + size].tolist()) for k in range(max(1, len(b) - size + 1))]
         mine = set(own.tolist())
         assert abs(substrings._best_window(own, b, before, size) - max(len(mine & x) / len(mine | x) for x in sets)) < 1e-9
+
+
+def test_near_copies_with_repeated_ids(spark):
+    rng = random.Random(10)
+    text = lambda: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(60))
+    p, other, third = text(), text(), text()
+    near = p + " more"
+    docs = spark.createDataFrame([(1, p), (2, p), (2, other), (2, other), (3, near), (3, third), (4, third + " more"), (None, p)], "doc_id long, text string")
+    rows = Counter(map(tuple, jaccard.classes(docs).collect()))
+    assert rows == Counter([(1, 1, 1, 1), (2, 1, 1, 1), (2, 2, 2, 0), (2, 2, 2, 0), (3, 1, 3, 1), (3, 3, 3, 1), (4, 3, 4, 1), (None, None, None, None)])
+    assert sorted(map(str, map(tuple, jaccard.keep_one(docs).collect()))) == sorted(map(str, [(1, p), (2, other), (3, third), (None, p)]))
+
+
+def test_fit_bound_holds_for_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 2, f"text {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_pairs", lambda x, good: seen.append(len(x)))
+    quality.fit(docs, labels, 2)
+    assert seen == [2]
+    with pytest.raises(ValueError):
+        quality.score(docs.withColumn(quality.SCORE, docs.doc_id), None)
