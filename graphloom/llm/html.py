@@ -9,7 +9,8 @@ element is known by its name or by a whole word of its class, id or role. One th
 element, or one of half its words, is a wrapper and not left out; so is one with more than half of the page's words if
 there is no such element, and a form with more than half of the words of the largest.
 
-Labelled pages are those with exactly one article or main element; at most FIT_PAGES of them are counted.
+Labelled pages are those with exactly one article or main element; of pages with such a tag at most FIT_PAGES are
+counted. Inside an article, only blocks are left out for their class, and what is left out does not end the region.
 
 Cases: null and empty pages, and pages without words of content, give an empty text; unclosed elements of the
 kinds above are ignored but for script and style, which run to the end; character references are decoded once;
@@ -33,6 +34,8 @@ from .common import chunks
 
 #: At most so many pages are counted for the weights, drawn by a hash of their ids.
 FIT_PAGES = 2000
+#: A page with more kinds of tags than HTML has is not counted.
+PAGE_KINDS = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -49,13 +52,15 @@ _WORDS_ASIDE = re.compile(
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _CONTENT = {"article", "main"}
+#: Elements that group others: only these are left out of an article for their class.
+_BLOCKS = set("div section ul ol dl table nav aside form figure iframe details".split())
 
 Token = tuple[str, str, bool]  # kind of tag or "", text, whether it lies aside
 
 
 def tokens(page: str) -> list[Token]:
     """Tags as (kind, "", aside) and texts as ("", text, aside). A kind is "name" or "/name", with "!" if the
-    element is aside."""
+    element is aside, "?" if it is so inside an article or main element."""
     found, at = [], 0
     while True:
         m = _TOKEN.search(page, at)
@@ -88,7 +93,7 @@ def tokens(page: str) -> list[Token]:
     most = max(map(within, large), default=words[-1])
     large = [i for i in large if 2 * within(i) >= most]
     out: list[Token] = []
-    skip, depth, content = "", 0, 0
+    skip, depth, content, mark = "", 0, 0, "!"
     for i, (kind, text, attributes) in enumerate(found):
         name = kind.lstrip("/")
         if skip:
@@ -96,20 +101,21 @@ def tokens(page: str) -> list[Token]:
                 depth += closed[i]
             elif name == skip:
                 depth -= 1
-            out.append((kind and kind + "!", text, True))
+            out.append((kind and kind + mark, text, True))
             if depth == 0:
                 skip = ""
             continue
         if name in _CONTENT:
             content += -1 if kind[0] == "/" else 1
         if kind and kind[0] != "/" and closed[i] and name not in _VOID and name not in _CONTENT and name not in ("body", "html"):
-            aside = name in _ASIDE and not (name == "header" and content > 0)
-            if not aside and attributes:
+            # in an article, only blocks are left out: a paragraph, heading or phrase is its text whatever its class
+            aside = name in _ASIDE and not (content > 0 and name in ("header", "label"))
+            if not aside and attributes and (content <= 0 or name in _BLOCKS):
                 aside = any(_WORDS_ASIDE.search(a or b or c) for _, a, b, c in _ATTRIBUTE.findall(attributes))
             # what holds such an article, or most of the words where none tells (a form: everywhere), is a wrapper
             if aside and bisect(large, i) == bisect(large, end[i]) and not ((name == "form" or not large) and 2 * within(i) > most):
-                skip, depth = name, 1
-                out.append((kind + "!", "", True))
+                skip, depth, mark = name, 1, "?" if content > 0 else "!"
+                out.append((kind + mark, "", True))
                 continue
         out.append((kind, text, False))
     return out
@@ -124,8 +130,9 @@ def counts(page: str) -> Counter | None:
         return None
     out: Counter = Counter()
     for i, (kind, text, _) in enumerate(found):
-        inside = opened[0] < i < shut[0]
-        out[kind, inside] += 1 if kind else len(text.split())
+        if not kind.endswith("?"):
+            inside = opened[0] < i < shut[0]
+            out[kind, inside] += 1 if kind else len(text.split())
     return out
 
 
@@ -147,8 +154,8 @@ def weights(counted: Counter) -> dict[str, float]:
 
 
 def unknown(kind: str) -> float:
-    """The weight of a kind of tag that no labelled page has."""
-    return -2.0 if kind.endswith("!") else -0.2
+    """The weight of a kind of tag that no labelled page has. What is left out of an article does not end it."""
+    return 0.0 if kind.endswith("?") else -2.0 if kind.endswith("!") else -0.2
 
 
 def main_text(page: str | None, weight: dict[str, float]) -> str:
@@ -165,28 +172,32 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
     parts = []
     for kind, text, aside in found[region[0] : region[1]]:
         if kind:
-            if kind.strip("/!") not in _INLINE:
+            if kind.strip("/!?") not in _INLINE:
                 parts.append(" ")
         elif not aside:
-            parts.append(text)
-    return " ".join(unescape("".join(parts)).split())
+            parts.append(unescape(text))  # a reference ends with its piece of text
+    return " ".join("".join(parts).split())
 
 
 def fit(pages: DataFrame, bound: int = FIT_PAGES) -> dict[str, float]:
-    """Weights from at most ``bound`` rows of ``pages(page_id, html)``."""
+    """Weights from at most ``bound`` labelled rows of ``pages(page_id, html)``. The driver gets the counts of each of
+    these, with at most PAGE_KINDS kinds of tags for a page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
         for batch in batches:
+            out = []
             for page in batch.column(0).to_pylist():
-                sums.update(counts(page or "") or {})
-        yield pa.record_batch([pa.array([k for k, _ in sums], pa.string()), pa.array([i for _, i in sums], pa.bool_()), pa.array(list(sums.values()), pa.int64())], ["kind", "inside", "n"])
-
-    # a page with an unusual name for a tag adds little; only kinds that stand on several pages reach the driver
-    ids = pages.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(bound).distinct()
-    drawn = pages.join(F.broadcast(ids), "page_id").select("html")  # as many ids as the bound says
-    found = drawn.mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "inside").limit(1000).collect()
-    return weights(Counter({(r["kind"], r["inside"]): r["n"] for r in found}))
+                sums = counts(page or "")
+                if sums and len(sums) <= 2 * PAGE_KINDS:
+                    out.append([{"kind": k, "inside": i, "n": n} for (k, i), n in sums.items()])
+            yield pa.record_batch([pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())])))], ["counts"])
+
+    # only pages that look labelled are read for it: in an order of their ids and texts that is the same in every run
+    labelled = pages.where(F.lower("html").rlike("<(article|main)[\\s/>]")).select("page_id", "html").orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(bound)
+    sums: Counter = Counter()
+    for row in labelled.select("html").mapInArrow(run, "counts array<struct<kind: string, inside: boolean, n: long>>").toLocalIterator():
+        sums.update({(x["kind"], x["inside"]): x["n"] for x in row["counts"]})
+    return weights(sums)
 
 
 def extract(pages: DataFrame, weight: dict[str, float] | None = None) -> DataFrame:

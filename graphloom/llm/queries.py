@@ -86,6 +86,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 
 ORACLES: dict[str, str] = {
+    # CRC-32 byte by byte, from its table
+    "op7_sharding": r"""
+WITH RECURSIVE bits AS (SELECT 0 AS k, i AS b, CAST(i AS BIGINT) AS c FROM range(256) AS x(i)
+  UNION ALL SELECT k + 1, b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+h AS (SELECT DISTINCT coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT text, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2*i+1:2*i+2] AS BIGINT))),
+  lambda a, b: xor(a >> 8, t[CAST(xor(a & 255, b) AS INTEGER) + 1]))) AS text_crc32 FROM h, crc),
+d AS (SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, coalesce(text, '') AS text, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS k FROM documents),
+p AS (SELECT *, sum(size) OVER (ORDER BY k, doc_id NULLS FIRST, r ROWS UNBOUNDED PRECEDING) AS stop FROM d),
+b AS (SELECT i, arg_min(stop, struct_pack(far := abs(stop - i * total / 16), e := stop)) AS cut
+  FROM (SELECT stop FROM p UNION ALL SELECT 0), (SELECT i FROM range(1, 16) AS y(i)), (SELECT CAST(sum(size) AS DOUBLE) AS total FROM d) GROUP BY i),
+s AS (SELECT p.*, (SELECT count(*) FROM b WHERE cut <= stop - size) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY stop) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s JOIN c USING (text)""",
     "op5_lm": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 t AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, w FROM d WHERE len(w) > 0),

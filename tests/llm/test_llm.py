@@ -250,19 +250,32 @@ def test_components(spark):
     assert got == label
 
 
-def test_sharding(docs, empty):
-    got = sharding.shard_bytes(docs, 4).collect()
-    assert len(got) == docs.count()
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    for r in got:
-        raw = (texts[r.doc_id] or "").encode()
-        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
-    shards = defaultdict(list)
-    for r in got:
-        shards[r.shard].append(r)
-    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in shards.values())
-    sums = [sum(r.size for r in x) for x in shards.values()]
-    assert max(sums) - min(sums) <= 2 * max(r.size for r in got)
+def test_sharding(spark, docs, empty, monkeypatch):
+    repeated = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(500, "same text")] * 90 + [(None, None)] * 3, "doc_id long, text string"))
+    rows = [(i, t) for i, t in map(tuple, repeated.collect())]
+
+    def key(r):
+        raw = (r[1] or "").encode()
+        return int(hashlib.md5(raw).hexdigest()[:15], 16), r[0] is not None, r[0] or 0
+
+    def want(shards):
+        """An independent placement: in order, borders at the end of a row nearest to equal shares."""
+        ordered = sorted(rows, key=key)
+        sizes = [len((t or "").encode()) + 1 for _, t in ordered]
+        ends = [0, *itertools.accumulate(sizes)]
+        borders = [min(ends, key=lambda e: (abs(e - i * ends[-1] / shards), e)) for i in range(1, shards)]
+        out, slots = [], Counter()
+        for (i, t), size, at in zip(ordered, sizes, ends, strict=False):
+            shard = sum(b <= at for b in borders)
+            out.append((str(i), size, zlib.crc32((t or "").encode()), shard, slots[shard]))
+            slots[shard] += 1
+        return sorted(out)
+
+    for shards, sample in ((4, 32_768), (7, 10), (1, 10)):
+        monkeypatch.setattr(sharding, "SAMPLE", sample)
+        monkeypatch.setattr(sharding, "RANGE_ROWS", 8)
+        got = sharding.shard_bytes(repeated, shards).collect()
+        assert sorted((str(r.doc_id), r.size, r.text_crc32, r.shard, r.slot) for r in got) == want(shards)
     assert sharding.shard_bytes(empty).count() == 0
 
 
@@ -539,3 +552,31 @@ def test_fit_bound_holds_for_repeated_ids(spark, monkeypatch):
     assert seen == [2]
     with pytest.raises(ValueError):
         quality.score(docs.withColumn(quality.SCORE, docs.doc_id), None)
+
+
+def test_main_text_of_marked_paragraphs_and_split_references():
+    page = "<body><article><h1>Head</h1><p class='alert box'>Mind the gap</p><p>more <label>words</label> here</p><div class='share'><p>Share it</p></div><p>to the end</p></article></body>"
+    assert html.main_text(page, html.DEFAULT) == "Head Mind the gap more words here to the end"
+    assert html.main_text("<p>a &am<b>p;</b> b &amp; c</p>", html.DEFAULT) == "a &amp; b & c"
+
+
+def test_region_against_all_regions():
+    rng = random.Random(15)
+    weight = {"": 1.0, "p": -1.5, "/p": -1.5, "div": -2.5, "/div": -0.5}
+    for _ in range(300):
+        page = "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "x y ", "z "]) for _ in range(14))
+        found = html.tokens(page)
+        score = lambda t: sum(len(x.split()) * weight[""] if not k else weight[k] for k, x, _ in t)
+        text = lambda t: " ".join(" ".join(x for _, x, _ in t).split())
+        regions = [found[i:j] for i in range(len(found)) for j in range(i + 1, len(found) + 1)]
+        best = max(map(score, regions), default=0)
+        texts = {text(r) for r in regions if score(r) == best} if best > 0 else {""}
+        assert html.main_text(page, weight) in texts
+
+
+def test_main_text_of_long_and_repeated_pages_with_further_columns(spark):
+    long = "<article><p>" + "word " * 100_000 + "</p></article>"
+    rows = [(1, "u", long, "a", 1), (1, "u", long, "b", 2), (None, None, "<p>x</p>", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = html.extract(pages).collect()
+    assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 499_999), ("1", 499_999), ("None", 1)] and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
