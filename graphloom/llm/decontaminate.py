@@ -56,7 +56,7 @@ def _small(df: DataFrame, source: DataFrame) -> DataFrame:
 def index(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """The stored index: term, doc, pos of the words of ``documents(doc, words)`` that are in the stored table
     ``terms(term)``, and of END."""
-    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([(END,)], "term string"))
+    wanted = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit(END).alias("term")))
     found = documents.select("doc", F.posexplode(F.array_append("words", F.lit(END))).alias("pos", "term"))
     return materialize(found.join(_small(wanted, terms), "term", "left_semi").select("term", "doc", "pos"))
 
@@ -143,9 +143,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
     lists = materialize(postings.join(_small(searched, counted), "term", "left_semi"))
     candidates = materialize(phrase_starts(lists, counted, parts))
     found = phrases(docs, candidates, items)
-    lists = F.array_sort(F.array_compact(F.array_distinct(F.transform("hits", lambda x: x["item"]))))
+    named = F.array_sort(F.array_compact(F.array_distinct(F.transform("hits", lambda x: x["item"]))))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
-    hits = found.select("doc", lists.alias("items"), F.size(covered).alias("n_hit"), F.exists("hits", lambda x: x["n"] == width).alias("leaked"))
+    hits = found.select("doc", named.alias("items"), F.size(covered).alias("n_hit"), F.exists("hits", lambda x: x["n"] == width).alias("leaked"))
     close = near(lists, rare, counted).select("doc", "i").distinct().join(_small(items.select("i", "item"), items), "i").groupBy("doc").agg(F.countDistinct("item").alias("n_near"))
     rows = postings.where(F.col("term") == END).select("doc", F.col("pos").cast("long").alias("n_words"))
     out = rows.join(hits, "doc", "left").join(close, "doc", "left")
