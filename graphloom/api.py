@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -48,8 +50,8 @@ class Triple:
 class Mapping:
     """A graph that is filled by templates over frames and by CONSTRUCT, and asked by SPARQL.
 
-    ``caching_folder``: the triples of each expansion are written there as Parquet and read again, so that later
-    queries do not go back to the sources."""
+    ``caching_folder``: the rows of each expansion are written there as Parquet and read again, so that later queries
+    do not go back to the sources."""
 
     def __init__(self, documents: list[str] | str | None = None, caching_folder: str | None = None, spark: SparkSession | None = None, unbound_last: bool = True):
         self.spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
@@ -77,9 +79,9 @@ class Mapping:
         if missing := [c for c in (*(unique_subset or ()), *(language_tags or ())) if c not in frame.columns]:
             raise MappingError(f"there are no columns {missing}")
         if folder:
-            n = sum(len(t.pieces) for t in self.store.tables.values())
-            frame.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/source_{n}_{abs(id(self))}")
-            frame = self.spark.read.parquet(f"{folder.rstrip('/')}/source_{n}_{abs(id(self))}")
+            path = f"{folder.rstrip('/')}/source_{uuid4().hex}"  # of its own, whoever else uses the folder
+            frame.write.parquet(path)
+            frame = self.spark.read.schema(frame.schema).parquet(path)
         expand(self.templates, self.templates.find(template), frame, self.store, unique_subset, language_tags, validate)
 
     def expand_default(self, df, primary_key_column: str, foreign_key_columns: list[str] | None = None, template_prefix: str | None = None, predicate_uri_prefix: str | None = None, language_tags: dict[str, str] | None = None, caching_folder: str | None = None, validate: bool = True) -> str:
@@ -151,11 +153,17 @@ class Mapping:
         (lines.coalesce(1) if single_file else lines).write.mode("overwrite").text(path)
 
     def write_native_parquet(self, path: str) -> None:
-        """A Parquet table for each predicate and type of object, with native types."""
+        """A Parquet table for each predicate and type of object, with native types. Its name has the letters and digits
+        of both; where several would have one name, also a hash of each."""
+        named: dict[str, list] = {}
         for t in self.store.tables.values():
             name = "".join(c for c in t.predicate if c.isalnum())
             kind = "object_property" if t.kind == IRI else "".join(c for c in t.kind.datatype if c.isalnum())
-            t.frame().write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}_{kind}.parquet")
+            named.setdefault(f"{name}_{kind}".lower(), []).append((f"{name}_{kind}", t))
+        for tables in named.values():
+            for name, t in tables:
+                tail = "_" + md5(f"{t.predicate} {t.kind}".encode()).hexdigest() if len(tables) > 1 else ""
+                t.frame().write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}{tail}.parquet")
 
     def iterate_triples(self) -> Iterator[Triple]:
         for r in self.triples().toLocalIterator():

@@ -209,6 +209,15 @@ def _offset(v: Value) -> Column:
     return F.when(v.column.isNotNull(), F.lit("")) if v.kind == DATETIME else F.lit(None).cast("string")
 
 
+def _timezone(v: Value) -> Value:
+    """The offset as a duration; unbound without one."""
+    text = F.when(_offset(v) == "Z", "+00:00").otherwise(F.nullif(_offset(v), F.lit("")))
+    hours, minutes = F.substring(text, 2, 2).cast("int"), F.substring(text, 5, 2).cast("int")
+    parts = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""))
+    lex = F.concat(F.when(F.startswith(text, F.lit("-")), "-PT").otherwise("PT"), F.when(parts == "", "0S").otherwise(parts))
+    return Value(F.when(text.isNotNull(), F.struct(F.lit("literal").alias("kind"), lex.alias("lex"), F.lit(XSD + "dayTimeDuration").alias("dt"), F.lit("").alias("lang"))), MIXED)
+
+
 _digest = {"MD5": lambda c: F.md5(c.cast("binary")), "SHA1": F.sha1, "SHA256": lambda c: F.sha2(c, 256), "SHA384": lambda c: F.sha2(c, 384), "SHA512": lambda c: F.sha2(c, 512)}
 
 FUNCTIONS: dict[str, Callable[[list[Value]], Value]] = {
@@ -226,7 +235,7 @@ FUNCTIONS: dict[str, Callable[[list[Value]], Value]] = {
     "ENCODE_FOR_URI": lambda a: Value(F.replace(F.replace(F.url_encode(_text(a[0])), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~")), STRING),
     "REPLACE": lambda a: _like(a[0], F.regexp_replace(_text(a[0]), _flags(a, 3, _text(a[1])), _text(a[2]))),
     "REGEX": lambda a: Value(F.rlike(_text(a[0]), _flags(a, 2, _text(a[1]))), BOOLEAN),
-    "TZ": lambda a: Value(_offset(a[0]), STRING), "NOW": lambda a: Value(F.current_timestamp(), literal("dateTimeStamp")),
+    "TZ": lambda a: Value(_offset(a[0]), STRING), "TIMEZONE": lambda a: _timezone(a[0]), "NOW": lambda a: Value(F.current_timestamp(), literal("dateTimeStamp")),
     "RAND": lambda a: Value(F.rand(), DOUBLE), "UUID": lambda a: Value(F.concat(F.lit("urn:uuid:"), F.uuid()), IRI), "STRUUID": lambda a: Value(F.uuid(), STRING),
     **{name: (lambda a, f=f: Value(f(_text(a[0])), STRING)) for name, f in _digest.items()},
     "STRLANG": lambda a: Value(F.when(_text(a[0]).isNotNull(), F.struct(F.lit("literal").alias("kind"), _text(a[0]).alias("lex"), F.lit(RDF + "langString").alias("dt"), _text(a[1]).alias("lang"))), MIXED),

@@ -149,7 +149,7 @@ def _expanded(instance: Instance, values: list[Value], scope: Scope) -> tuple[li
         raise MappingError(f"{instance.template}: ++ on an argument that is no list")
     if instance.expander == "cross":
         for i in at:
-            frame = frame.withColumn(f"a{i}", F.explode_outer(f"a{i}"))
+            frame = frame.withColumn(f"a{i}", F.explode_outer(F.array_distinct(f"a{i}")))  # a graph is a set
     else:
         lists = [F.coalesce(F.col(f"a{i}"), F.array()) if instance.expander == "zipMin" else F.col(f"a{i}") for i in at]
         if instance.expander == "zipMin":

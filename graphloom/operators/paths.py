@@ -99,24 +99,25 @@ class Paths:
     def _closure(self, p: tuple, start: Column | None, end: Column | None) -> DataFrame:
         if start is not None or end is not None:
             return self._search(p, start, end)
-        reached = materialize(self.pairs(p))
-        n = reached.count()
-        while n:
-            twice = reached.select("s", F.col("o").alias("m")).join(reached.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
-            more = materialize(reached.union(twice).distinct())
-            grown = more.count()
-            reached = more
-            if grown == n:
-                break
-            n = grown
+        # paths of twice the length in each round, made of a new one and any other
+        reached = delta = materialize(self.pairs(p).distinct())
+        while not delta.isEmpty():
+            ahead, back = reached.select(F.col("s").alias("m"), F.col("o").alias("e")), reached.select(F.col("s").alias("b"), F.col("o").alias("m"))
+            on = delta.join(ahead, delta["o"] == F.col("m")).select("s", F.col("e").alias("o"))
+            before = delta.join(back, delta["s"] == F.col("m")).select(F.col("b").alias("s"), "o")
+            delta = materialize(on.union(before).distinct().join(reached, ["s", "o"], "left_anti"))
+            reached = materialize(reached.union(delta))
         return reached
 
     def _search(self, p: tuple, start: Column | None, end: Column | None) -> DataFrame:
         edges = materialize(self.pairs(p))
         a, b, seed = ("s", "o", start) if start is not None else ("o", "s", end)
         seen = frontier = materialize(edges.where(F.col(a) == seed).select(F.col(b).alias("n")).distinct())
+        rounds = 0
         while not frontier.isEmpty():
             step = frontier.join(edges.select(F.col(a).alias("n"), F.col(b).alias("to")), "n").select(F.col("to").alias("n")).distinct()
             frontier = materialize(step.join(seen, "n", "left_anti"))
-            seen = seen.union(frontier)
+            seen, rounds = seen.union(frontier), rounds + 1
+            if rounds % 8 == 0:
+                seen = materialize(seen)
         return seen.select(seed.alias(a), F.col("n").alias(b)).select("s", "o")

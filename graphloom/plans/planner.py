@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..errors import UnsupportedQuery
 from ..functions.expressions import Compiler, Env, Value, harmonised, term
-from ..functions.terms import BOOLEAN, DOUBLE, FLOAT, INTEGER, INTEGERS, IRI, MIXED, NONE, STRING, RdfType, is_numeric, lexical, promote, spark_type
+from ..functions.terms import BOOLEAN, DOUBLE, FLOAT, INTEGER, INTEGERS, IRI, MIXED, NONE, NUMERIC, STRING, RdfType, is_numeric, lexical, promote, spark_type
 from ..operators.paths import Paths
 from ..operators.store import GraphStore, Piece, Table
 from ..sources.templates import Blank, Iri, Literal, Var
@@ -205,11 +205,50 @@ class Planner:
             sides.append(Solutions(frame, names, maybe))
         return *sides, shared
 
+    @staticmethod
+    def _patterns(s: Solutions, names: list[str]) -> list[tuple[set[str], DataFrame]]:
+        """The rows of ``s`` by which of ``names`` are bound, with these names."""
+        out = [(set(), s.frame)]
+        for n in names:
+            c = F.col(s.vars[n][0])
+            out = [(bound | more, frame.where(c.isNotNull() if more else c.isNull())) for bound, frame in out for more in ({n}, set())]
+        return out
+
+    def _split(self, a: Solutions, b: Solutions, shared: list[str]) -> list[tuple[Solutions, Solutions, set[str]]] | None:
+        """Pairs of parts of ``a`` and ``b`` and the keys bound in both, if no key is always bound: so that each
+        pair has plain equi-joins. None where that is needless, or would make too many parts."""
+        unsure = [n for n in shared if n in a.maybe or n in b.maybe]
+        mine, other = [n for n in shared if n in a.maybe], [n for n in shared if n in b.maybe]
+        if not unsure or len(unsure) < len(shared) or len(mine) + len(other) > 3:
+            return None
+        sure = lambda s, bound: s.maybe - bound
+        parts = []
+        for p, left in self._patterns(a, mine):
+            for q, right in self._patterns(b, other):
+                keys = {n for n in shared if (n in p or n not in a.maybe) and (n in q or n not in b.maybe)}
+                parts.append((Solutions(left, a.vars, sure(a, p)), Solutions(right, b.vars, sure(b, q)), keys))
+        return parts
+
     def join(self, a: Solutions, b: Solutions, how: str = "inner", condition=None) -> Solutions:
         a, b, shared = self._keys(a, b)
+        if how == "inner" or (how == "left" and not b.maybe & set(shared)):
+            parts = self._split(a, b, shared)
+            if parts:
+                out = None
+                for x, y, keys in parts:
+                    one = self._join(x, y, shared, how, condition, keys)
+                    out = one if out is None else self.union(out, one)
+                return out
+        return self._join(a, b, shared, how, condition, None)
+
+    def _join(self, a: Solutions, b: Solutions, shared: list[str], how: str, condition, keys: set[str] | None) -> Solutions:
+        """``keys``: the shared names that are bound in both, where others are bound in one at most."""
         on, picked = None, {}
         for n in shared:
             x, y = F.col(a.vars[n][0]), F.col(b.vars[n][0])
+            if keys is not None and n not in keys:
+                picked[n] = F.coalesce(x, y)
+                continue
             c = x == y
             if n in a.maybe:
                 c = c | x.isNull()
@@ -380,6 +419,21 @@ class Planner:
             return self.join(a, b, "left_anti")
         # rows that share no bound variable are not taken away
         x, y, shared = self._keys(a, b)
+        parts = self._split(x, y, shared)
+        if parts:
+            # the parts of b, one after the other, take away from each part of a
+            left: dict[frozenset, DataFrame] = {}
+            for p, q, keys in parts:
+                known = frozenset(set(shared) - p.maybe)
+                frame = left.get(known, p.frame)
+                if keys:
+                    on = [F.col(p.vars[n][0]) == F.col(q.vars[n][0]) for n in sorted(keys)]
+                    frame = frame.join(q.frame, on, "left_anti")
+                left[known] = frame
+            out = None
+            for frame in left.values():
+                out = frame if out is None else out.union(frame)
+            return Solutions(out, x.vars, x.maybe)
         compatible, some = F.lit(True), F.lit(False)
         for n in shared:
             p, q = F.col(x.vars[n][0]), F.col(y.vars[n][0])
@@ -421,7 +475,11 @@ class Planner:
         column, kind = v.column, v.kind
         if name in ("SUM", "AVG"):
             if kind == MIXED:
-                column, kind = column["lex"].try_cast("double"), DOUBLE
+                # one term that is no number leaves the result unbound
+                number = F.when(column["dt"].isin(*sorted(NUMERIC)), column["lex"].try_cast("double"))
+                wrong = F.coalesce(F.bool_or(column.isNotNull() & number.isNull()), F.lit(False))
+                total, kind = Planner._aggregate(name, distinct, Value(number, DOUBLE), separator, s)
+                return F.when(~wrong, total), kind
             elif kind == BOOLEAN:
                 column, kind = column.cast("bigint"), INTEGER
             elif kind == NONE:

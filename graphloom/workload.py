@@ -172,14 +172,14 @@ def expand_default_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _triples(m).select("subject", "predicate", "object")
 
 
-def _lists(expander: str, body: str, whole: bool = False) -> Callable[[SparkSession, str], DataFrame]:
-    """Lists of the first five words, or (``whole``) of all words up to half of each text and from there on."""
+def _lists(expander: str, body: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Lists of all words up to half of each text and from there on."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = Mapping([_T + f"d:L [xsd:anyURI ?s, ? ?a, ? ?b] :: {{ {expander} | {body} }} . d:Pair [? ?s, ? ?x, ? ?y] :: {{ ottr:Triple(?s, v:x, ?x), ottr:Triple(?s, v:y, ?y) }} ."], spark=spark)
         words = F.split("text", " ")
         half = F.floor(F.size(words) / 2).cast("int")
-        a, b = (F.slice(words, F.lit(1), half), F.slice(words, half + 1, F.size(words) - half)) if whole else (F.slice(words, 1, 3), F.slice(words, 4, 2))
+        a, b = F.slice(words, F.lit(1), half), F.slice(words, half + 1, F.size(words) - half)
         rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(iri("doc", "doc_id").alias("s"), a.alias("a"), b.alias("b"))
         m.expand(D + "L", rows)
         return _triples(m).select("subject", "predicate", "object")
@@ -250,12 +250,9 @@ CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "expand_nested": (expand_nested, f"SELECT {N} AS subject, '{V}name' AS predicate, n_name AS object FROM nation UNION ALL SELECT {N}, '{V}tag', 'fixed' FROM nation UNION ALL SELECT {N}, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{D}Nation' FROM nation"),
     "expand_optional_null": (expand_optional_null, f"SELECT {DOC} AS subject, '{V}quality' AS predicate, CAST(quality AS VARCHAR) AS object FROM labels UNION ALL SELECT {DOC}, '{V}lang', CASE WHEN lang = 'en' THEN 'none' ELSE lang END FROM documents"),
     "expand_default_fk": (expand_default_fk, f"SELECT {O} AS subject, '{V}customer' AS predicate, '{D}customer/' || o_custkey AS object FROM orders UNION ALL SELECT {O}, '{V}status', o_orderstatus FROM orders"),
-    "expand_cross_list": (_lists("cross", "d:Pair(?s, ++ ?a, ++ ?b)"), f"WITH w AS (SELECT {DOC} AS s, string_split(text, ' ') AS w FROM documents) SELECT DISTINCT s AS subject, '{V}x' AS predicate, x AS object FROM (SELECT s, unnest(w[1:3]) AS x FROM w) UNION ALL SELECT DISTINCT s, '{V}y', y FROM (SELECT s, unnest(w[4:5]) AS y FROM w)"),
-    "expand_zip_min": (_lists("zipMin", "d:Pair(?s, ++ ?a, ++ ?b)"), f"WITH w AS (SELECT {DOC} AS s, string_split(text, ' ') AS w FROM documents), z AS (SELECT s, w[1:3] AS a, w[4:5] AS b FROM w), k AS (SELECT s, a, b, least(len(a), len(b)) AS k FROM z) SELECT DISTINCT s AS subject, '{V}x' AS predicate, x AS object FROM (SELECT s, unnest(a[1:k]) AS x FROM k WHERE k > 0) UNION ALL SELECT DISTINCT s, '{V}y', y FROM (SELECT s, unnest(b[1:k]) AS y FROM k WHERE k > 0)"),
-    "expand_zip_max": (_lists("zipMax", "d:Pair(?s, ++ ?a, ++ ?b)"), f"WITH w AS (SELECT {DOC} AS s, string_split(text, ' ') AS w FROM documents) SELECT DISTINCT s AS subject, '{V}x' AS predicate, x AS object FROM (SELECT s, unnest(w[1:3]) AS x FROM w) UNION ALL SELECT DISTINCT s, '{V}y', y FROM (SELECT s, unnest(w[4:5]) AS y FROM w)"),
-    "expand_cross_whole": (_lists("cross", "d:Pair(?s, ++ ?a, ++ ?b)", True), _HALVES + f" SELECT DISTINCT s AS subject, '{V}x' AS predicate, x AS object FROM (SELECT s, unnest(a) AS x FROM z) UNION ALL SELECT DISTINCT s, '{V}y', y FROM (SELECT s, unnest(b) AS y FROM z)"),
-    "expand_zip_min_whole": (_lists("zipMin", "d:Pair(?s, ++ ?a, ++ ?b)", True), _HALVES + f" SELECT DISTINCT s AS subject, '{V}x' AS predicate, x AS object FROM (SELECT s, unnest(a[1:least(len(a), len(b))]) AS x FROM z WHERE len(a) > 0 AND len(b) > 0) UNION ALL SELECT DISTINCT s, '{V}y', y FROM (SELECT s, unnest(b[1:least(len(a), len(b))]) AS y FROM z WHERE len(a) > 0 AND len(b) > 0)"),
-    "expand_zip_max_whole": (_lists("zipMax", "d:Pair(?s, ++ ?a, ++ ?b)", True), _HALVES + f" SELECT DISTINCT s AS subject, '{V}x' AS predicate, x AS object FROM (SELECT s, unnest(a) AS x FROM z) UNION ALL SELECT DISTINCT s, '{V}y', y FROM (SELECT s, unnest(b) AS y FROM z)"),
+    "expand_cross_list": (_lists("cross", "d:Pair(?s, ++ ?a, ++ ?b)"), _HALVES + f" SELECT DISTINCT s AS subject, '{V}x' AS predicate, x AS object FROM (SELECT s, unnest(a) AS x FROM z) UNION ALL SELECT DISTINCT s, '{V}y', y FROM (SELECT s, unnest(b) AS y FROM z)"),
+    "expand_zip_min": (_lists("zipMin", "d:Pair(?s, ++ ?a, ++ ?b)"), _HALVES + f" SELECT DISTINCT s AS subject, '{V}x' AS predicate, x AS object FROM (SELECT s, unnest(a[1:least(len(a), len(b))]) AS x FROM z WHERE len(a) > 0 AND len(b) > 0) UNION ALL SELECT DISTINCT s, '{V}y', y FROM (SELECT s, unnest(b[1:least(len(a), len(b))]) AS y FROM z WHERE len(a) > 0 AND len(b) > 0)"),
+    "expand_zip_max": (_lists("zipMax", "d:Pair(?s, ++ ?a, ++ ?b)"), _HALVES + f" SELECT DISTINCT s AS subject, '{V}x' AS predicate, x AS object FROM (SELECT s, unnest(a) AS x FROM z) UNION ALL SELECT DISTINCT s, '{V}y', y FROM (SELECT s, unnest(b) AS y FROM z)"),
     "expand_const_list": (expand_const_list, f"SELECT {R} AS subject, '{V}n' AS predicate, CAST(k AS VARCHAR) AS object, 'http://www.w3.org/2001/XMLSchema#integer' AS datatype FROM region, (VALUES (1), (2), (3)) t(k)"),
     "expand_dynamic_verb": (expand_dynamic_verb, f"SELECT {E} AS subject, '{V}' || event_type AS predicate, CAST(user_id AS VARCHAR) AS object FROM events"),
     "expand_language_tags": (expand_language_tags, f"SELECT {DOC} AS subject, md5(text) AS text_md5, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString' AS datatype, lang AS language FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')"),

@@ -98,3 +98,47 @@ def test_workload(spark, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_keys_that_may_be_unbound_make_equi_joins(spark):
+    m = Mapping(P + """ex:T [xsd:anyURI ?s, ? ?a, ? ?b] :: { ottr:Triple(?s, ex:is, "t"), ottr:Triple(?s, ex:a, ?a), ottr:Triple(?s, ex:b, ?b) } .""", spark=spark)
+    m.expand("ex:T", spark.createDataFrame([("http://s/1", 1, 1), ("http://s/2", 2, None), ("http://s/3", None, 3), ("http://s/4", None, None), ("http://s/5", 1, 2)], "s string, a int, b int"))
+    ask = lambda q: m.query("PREFIX ex: <http://e/> SELECT * { " + q + " }")
+    pairs = ask('{ ?x ex:is "t" OPTIONAL { ?x ex:a ?v } } { ?y ex:b ?v }')
+    rows = [(1, 1, 1), (2, 2, None), (3, None, 3), (4, None, None), (5, 1, 2)]
+    want = sorted(f"http://s/{x[0]} http://s/{y[0]} {y[2]}" for x in rows for y in rows if y[2] is not None and x[1] in (None, y[2]))
+    assert sorted(f"{r.x} {r.y} {r.v}" for r in pairs.collect()) == want
+    left = ask('?x ex:is "t" OPTIONAL { ?x ex:a ?v } MINUS { ?y ex:b ?v }')
+    assert sorted(r.x[-1] for r in left.collect()) == ["3", "4"]
+    further = ask('?x ex:is "t" OPTIONAL { ?x ex:a ?v } OPTIONAL { ?y ex:b ?v }')
+    want = sorted(f"{x[0]} {y[0] if y else None}" for x in rows for y in ([y for y in rows if y[2] is not None and x[1] in (None, y[2])] or [None]))
+    assert sorted(f"{r.x[-1]} {r.y and r.y[-1]}" for r in further.collect()) == [w for w in want]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "OR isnull" not in plan and "<=>" not in plan
+    assert "BroadcastNestedLoopJoin" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_over_terms_that_are_no_numbers(spark):
+    m = Mapping(P + """ottr:Triple(ex:a, ex:v, 1) . ottr:Triple(ex:a, ex:v, 2.5) . ottr:Triple(ex:b, ex:v, 1) . ottr:Triple(ex:b, ex:v, "a") .""", spark=spark)
+    got = {r.s[-1]: (r.n, r.m) for r in m.query("PREFIX ex: <http://e/> SELECT ?s (SUM(?v) AS ?n) (AVG(?v) AS ?m) { ?s ex:v ?v } GROUP BY ?s").collect()}
+    assert got == {"a": (3.5, 1.75), "b": (None, None)}
+
+
+def test_deep_chain(spark):
+    m = Mapping(P + "ex:T [xsd:anyURI ?s, xsd:anyURI ?o] :: { ottr:Triple(?s, ex:next, ?o) } .", spark=spark)
+    n = 200
+    m.expand("ex:T", spark.createDataFrame([(f"http://s/{i}", f"http://s/{i + 1}") for i in range(n)], "s string, o string"))
+    assert m.query("PREFIX ex: <http://e/> SELECT ?a ?b { ?a ex:next+ ?b }").count() == n * (n + 1) // 2
+
+
+def test_timezone(spark):
+    m = Mapping(P + "ex:T [xsd:anyURI ?s, ?o] :: { ottr:Triple(?s, ex:at, ?o) } .", spark=spark)
+    m.expand("ex:T", spark.sql("SELECT 'http://s' AS s, timestamp '2030-01-02 03:04:05' AS o"))
+    assert [r.z for r in m.query("PREFIX ex: <http://e/> SELECT (TIMEZONE(?o) AS ?z) { ?s ex:at ?o }").collect()] == ["PT0S"]
+
+
+def test_native_parquet_of_alike_names(spark, tmp_path):
+    m = Mapping("@prefix ottr: <http://ns.ottr.xyz/0.4/> . ottr:Triple(<http://x/s>, <http://x/a/b>, 1) . ottr:Triple(<http://x/s>, <http://x/ab>, 2) . ottr:Triple(<http://x/s>, <http://x/c>, 3) .", spark=spark)
+    m.write_native_parquet(str(tmp_path))
+    assert sorted(r.object for p in tmp_path.glob("*.parquet") for r in spark.read.parquet(str(p)).collect()) == [1, 2, 3]
+    assert len(list(tmp_path.glob("*.parquet"))) == 3

@@ -48,10 +48,10 @@ def test_nested_constants_and_types(spark):
 
 def test_datatypes(spark):
     m = Mapping(P + "ex:T [xsd:anyURI ?s, ?a, ?b, ?c, ?d, ?e, ?f] :: { ottr:Triple(?s, ex:p, ?a), ottr:Triple(?s, ex:p, ?b), ottr:Triple(?s, ex:p, ?c), ottr:Triple(?s, ex:p, ?d), ottr:Triple(?s, ex:p, ?e), ottr:Triple(?s, ex:p, ?f) } .", spark=spark)
-    when = dt.datetime(2022, 7, 3, 10, 6, 20, 123000)
-    m.expand("ex:T", spark.createDataFrame([("http://s", True, 7, 1.5, when, dt.date(2022, 7, 3), dt.timedelta(days=1, seconds=2))], "s string, a boolean, b long, c float, d timestamp_ntz, e date, f interval day to second"))
+    when = dt.datetime(2031, 11, 5, 23, 58, 1, 250000)
+    m.expand("ex:T", spark.createDataFrame([("http://s", True, 7, 1.5, when, dt.date(2031, 11, 5), dt.timedelta(days=1, seconds=2))], "s string, a boolean, b long, c float, d timestamp_ntz, e date, f interval day to second"))
     got = {r.datatype.rsplit("#", 1)[1]: r.object for r in m.triples().collect()}
-    assert got == {"boolean": "true", "long": "7", "float": "1.5", "dateTime": "2022-07-03T10:06:20.123", "date": "2022-07-03", "duration": "PT86402S"}
+    assert got == {"boolean": "true", "long": "7", "float": "1.5", "dateTime": "2031-11-05T23:58:01.250", "date": "2031-11-05", "duration": "PT86402S"}
 
 
 def test_lists(spark):
