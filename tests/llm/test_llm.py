@@ -507,7 +507,7 @@ def test_whole_windows_and_regions():
     rng = random.Random(6)
     for _ in range(200):
         windows = [{"number": rng.randrange(5), "begin": (b := rng.randrange(60)), "end": b + rng.randint(1, 40)} for _ in range(rng.randint(1, 12))]
-        covered = [x for x in range(101) if all(any(w["begin"] <= x < w["end"] for w in windows if w["number"] == k) for k in range(5))]
+        covered = [x for x in range(101) if sum(any(w["begin"] <= x < w["end"] for w in windows if w["number"] == k) for k in range(5)) >= 4]
         assert [x for a, b in substrings.whole_windows(windows) for x in range(a, b)] == covered
     link = lambda n, a, b, c, d: (a, b, c, d, n)
     assert substrings.regions([link(0, 0, 10, 50, 60), link(1, 5, 20, 55, 70), link(2, 15, 30, 500, 510), link(3, 40, 50, 90, 99)]) == [(0, 20, 50, 70)]
