@@ -1,13 +1,14 @@
 """SPARQL expressions as (column, RDF type). Errors are null; which operands can be compared is known statically.
 
-Numbers: integers are computed as bigint, the others as double; an overflow, a division by zero or text that is no
-number gives null.
+Numbers: integers are computed as bigint, decimals with integers as decimals of 18 places, the others and quotients as
+double; an overflow, a division by zero or text that is no number gives null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
@@ -105,25 +106,39 @@ def harmonised(values: list[Value]) -> tuple[list[Column], RdfType]:
     if len(kinds) == 1:
         kind = kinds.pop()
     elif all(is_numeric(k) for k in kinds):
-        kind = INTEGER if all(k.datatype in INTEGERS for k in kinds) else DOUBLE
+        names = {k.datatype for k in kinds}
+        kind = INTEGER if names <= INTEGERS else DECIMAL if names <= INTEGERS | {DECIMAL.datatype} else DOUBLE
     else:
         return [promote(v.column, v.kind) for v in values], MIXED
     return [v.column.cast(spark_type(kind)) if v.kind != kind else v.column for v in values], kind
 
 
+def _product(x: Column, y: Column) -> Column:
+    """Of decimals. A product of 38 digits is exact where each side has at most nine before and nine after the point;
+    else it is that of doubles, since Spark would cut it to six places."""
+    a, b = x.try_cast("decimal(18,9)"), y.try_cast("decimal(18,9)")
+    exact = F.try_multiply(a, b).try_cast(spark_type(DECIMAL))
+    rounded = F.try_multiply(x.cast("double"), y.cast("double")).try_cast(spark_type(DECIMAL))
+    return F.when((a == x) & (b == y), exact).otherwise(rounded)
+
+
 def arithmetic(op: str, a: Value, b: Value) -> Value:
     if op == "-" and a.kind == b.kind and a.kind.datatype in _TIMES:
         return Value(a.column - b.column, literal("duration")) if a.kind != DATE else Value((a.column.cast("timestamp") - b.column.cast("timestamp")), literal("duration"))
     a, b = _number(a), _number(b)
-    whole = a.kind.datatype in INTEGERS and b.kind.datatype in INTEGERS and op != "/"
+    kinds = {a.kind.datatype, b.kind.datatype}
+    whole = kinds <= INTEGERS and op != "/"
+    if not whole and op != "/" and kinds <= INTEGERS | {DECIMAL.datatype}:
+        x, y = (v.column.try_cast(spark_type(DECIMAL)) for v in (a, b))
+        made = _product(x, y) if op == "*" else {"+": F.try_add, "-": F.try_subtract}[op](x, y)
+        return Value(made.try_cast(spark_type(DECIMAL)), DECIMAL)
     spark = "bigint" if whole else "double"
     x, y = a.column.cast(spark), b.column.cast(spark)
     out = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op](x, y)
     if whole:
         return Value(out, INTEGER)
-    kinds = {a.kind.datatype, b.kind.datatype}
     if op != "/" and DOUBLE.datatype not in kinds:
-        return Value(out.cast(spark_type(FLOAT)), FLOAT) if FLOAT.datatype in kinds else Value(out, DECIMAL)
+        return Value(out.cast(spark_type(FLOAT)), FLOAT)
     return Value(out, DOUBLE)
 
 
@@ -176,13 +191,22 @@ def _rounding(f) -> Callable[[list[Value]], Value]:
 
     def run(args: list[Value]) -> Value:
         v = _number(args[0])
+        if v.kind == DECIMAL:
+            return Value(f(v.column).try_cast(spark_type(v.kind)), v.kind)
         return v if v.kind.datatype in INTEGERS else Value(f(v.column.cast("double")).cast(spark_type(v.kind)), v.kind)
 
     return run
 
 
 def _whole(f) -> Callable[[list[Value]], Value]:
-    return lambda args: Value(f(_number(args[0]).column).cast("bigint"), INTEGER)
+    """Unbound where the whole number does not fit a bigint."""
+
+    def run(args: list[Value]) -> Value:
+        v = _number(args[0])
+        fits = F.abs(v.column) < 2.0**63 if v.kind in (FLOAT, DOUBLE) else F.lit(True)
+        return Value(F.when(fits, f(v.column).try_cast("bigint")), INTEGER)
+
+    return run
 
 
 def _flags(args: list[Value], at: int, pattern: Column) -> Column:
@@ -200,7 +224,7 @@ def _substr(args: list[Value]) -> Value:
 
 
 def _round(x: Column) -> Column:
-    return F.floor(x + 0.5)
+    return F.floor(x + F.lit(Decimal("0.5")))
 
 
 def _offset(v: Value) -> Column:

@@ -50,7 +50,7 @@ SPARK_TYPES = {
     "boolean": "boolean", "byte": "tinyint", "short": "smallint", "int": "int", "long": "bigint", "integer": "bigint",
     "unsignedByte": "smallint", "unsignedShort": "int", "unsignedInt": "bigint", "unsignedLong": "decimal(20,0)",
     "nonNegativeInteger": "bigint", "positiveInteger": "bigint", "nonPositiveInteger": "bigint", "negativeInteger": "bigint",
-    "float": "float", "double": "double", "decimal": "double", "string": "string", "date": "date",
+    "float": "float", "double": "double", "decimal": "decimal(38,18)", "string": "string", "date": "date",
     "dateTime": "timestamp_ntz", "dateTimeStamp": "timestamp", "duration": "interval day to second",
 }
 INTEGERS = {XSD + n for n in SPARK_TYPES if SPARK_TYPES[n] in ("tinyint", "smallint", "int", "bigint", "decimal(20,0)")}
@@ -87,7 +87,9 @@ def parse_literal(lexical: str, datatype: str) -> Column:
     try:
         if datatype in INTEGERS:
             return F.lit(int(lexical)).cast(SPARK_TYPES[name])
-        if name in ("double", "float", "decimal"):
+        if name == "decimal":
+            return F.lit(lexical).try_cast(SPARK_TYPES[name])
+        if name in ("double", "float"):
             return F.lit(float(lexical.replace("INF", "inf"))).cast(SPARK_TYPES[name])
         if name == "boolean":
             return F.lit({"true": True, "1": True, "false": False, "0": False}[lexical])
@@ -109,16 +111,25 @@ def parse_literal(lexical: str, datatype: str) -> Column:
     return F.lit(lexical)
 
 
+def _fraction_of_threes(text: Column) -> Column:
+    """Times with a fraction of no, three or six digits."""
+    head, fraction = F.regexp_extract(text, r"^[^.]*", 0), F.regexp_extract(text, r"\.(\d+)$", 1)
+    padded = F.when(F.length(fraction) <= 3, F.rpad(fraction, 3, "0")).otherwise(F.rpad(fraction, 6, "0"))
+    return F.when(fraction == "", head).otherwise(F.concat(head, F.lit("."), padded))
+
+
 def lexical(col: Column, t: RdfType) -> Column:
     """The text of a term: an IRI, or a literal's lexical form."""
     name = t.datatype.removeprefix(XSD)
     if t.kind == "term":
         return col["lex"]
     if name == "dateTime":
-        return F.replace(col.cast("string"), F.lit(" "), F.lit("T"))
+        return _fraction_of_threes(F.replace(col.cast("string"), F.lit(" "), F.lit("T")))
     if name == "dateTimeStamp":
-        fraction = F.regexp_replace(F.date_format(col, ".SSSSSS"), r"\.?0+$", "")
-        return F.concat(F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.date_format(col, "XXX"))
+        text = F.regexp_replace(F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", "")
+        return F.concat(_fraction_of_threes(F.when(F.contains(F.date_format(col, "SSSSSS"), F.lit("000000")), F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(text)), F.date_format(col, "XXX"))
+    if name == "decimal":
+        return F.regexp_replace(col.cast(SPARK_TYPES[name]).cast("string"), r"\.?0+$", "")
     if name == "duration":
         seconds = F.abs(F.extract(F.lit("DAY"), col).cast("decimal(20,6)") * 86400 + F.extract(F.lit("HOUR"), col) * 3600 + F.extract(F.lit("MINUTE"), col) * 60 + F.extract(F.lit("SECOND"), col))
         return F.concat(F.when(col < F.expr("interval '0' second"), "-").otherwise(""), F.lit("PT"), F.regexp_replace(seconds.cast("string"), r"\.?0+$|(?<=\.\d{0,6}[1-9])0+$", ""), F.lit("S"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..errors import UnsupportedQuery
 from ..functions.expressions import Compiler, Env, Value, harmonised, term
-from ..functions.terms import BOOLEAN, DOUBLE, FLOAT, INTEGER, INTEGERS, IRI, MIXED, NONE, NUMERIC, STRING, RdfType, is_numeric, lexical, promote, spark_type
+from ..functions.terms import BOOLEAN, DECIMAL, DOUBLE, FLOAT, INTEGER, INTEGERS, IRI, MIXED, NONE, NUMERIC, STRING, RdfType, is_numeric, lexical, promote, spark_type
 from ..operators.paths import Paths
 from ..operators.store import GraphStore, Piece, Table
 from ..sources.templates import Blank, Iri, Literal, Var
@@ -487,13 +487,14 @@ class Planner:
             elif not is_numeric(kind):
                 return F.first(F.lit(None).cast("double")), DOUBLE
             whole = kind.datatype in INTEGERS
-            column = column.cast("bigint" if whole else "double")
+            spark = "bigint" if whole else spark_type(DECIMAL) if kind == DECIMAL else "double"
+            column = column.cast(spark)
             if name == "SUM":
                 # an empty group's sum is 0
-                total = F.coalesce(F.sum_distinct(column) if distinct else F.sum(column), F.lit(0).cast("bigint" if whole else "double"))
+                total = F.coalesce(F.sum_distinct(column) if distinct else F.sum(column), F.lit(0).cast(spark))
                 return (total, INTEGER) if whole else (total.cast(spark_type(kind)), kind)
-            mean = F.coalesce(F.sum_distinct(column) / F.nullif(F.count_distinct(column), F.lit(0)) if distinct else F.avg(column), F.lit(0.0))
-            return (mean.cast("float"), FLOAT) if kind == FLOAT else (mean, DOUBLE)
+            mean = F.coalesce(F.sum_distinct(column) / F.nullif(F.count_distinct(column), F.lit(0)) if distinct else F.avg(column), F.lit(0).cast(spark_type(kind)) if kind == DECIMAL else F.lit(0.0))
+            return (mean.cast(spark_type(kind)), kind) if kind in (FLOAT, DECIMAL) else (mean, DOUBLE)
         if name in ("MIN", "MAX"):
             f = F.min if name == "MIN" else F.max
             if kind == MIXED:  # numbers before other terms, each by their value

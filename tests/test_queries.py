@@ -142,3 +142,20 @@ def test_native_parquet_of_alike_names(spark, tmp_path):
     m.write_native_parquet(str(tmp_path))
     assert sorted(r.object for p in tmp_path.glob("*.parquet") for r in spark.read.parquet(str(p)).collect()) == [1, 2, 3]
     assert len(list(tmp_path.glob("*.parquet"))) == 3
+
+
+def test_decimals(spark):
+    m = Mapping(P + "ex:T [xsd:anyURI ?s, ?o] :: { ottr:Triple(?s, ex:v, ?o) } .", spark=spark)
+    m.expand("ex:T", spark.sql("SELECT * FROM VALUES ('http://s/1', 0.10BD), ('http://s/2', 0.20BD), ('http://s/3', 100.00BD) AS t(s, o)"))
+    one = lambda e: m.query(Q + f"SELECT (STR({e}) AS ?x) {{ }}").first().x
+    assert m.query(Q + "ASK { FILTER(0.1 + 0.2 = 0.3) }") is True
+    want = {
+        "0.1 + 0.2": "0.3", "1 - 0.9": "0.1", "0.1 * 0.1": "0.01", "-1.5 * 2": "-3", "123456789012.5 * 2": "246913578025", "ROUND(-2.5)": "-2", "ROUND(2.5)": "3",
+        "CEIL(1.2)": "2", "FLOOR(-1.2)": "-2", "CEIL(1e30)": None, "CEIL(1.5e0)": "2", "ABS(-0.10)": "0.1", "0.1e0 + 0.2": "0.30000000000000004", "xsd:decimal(\"1.50\")": "1.5", "xsd:decimal(\"x\")": None,
+        "IF(true, 1, 0.5)": "1", "DATATYPE(1 + 0.5)": "http://www.w3.org/2001/XMLSchema#decimal", "DATATYPE(1.5 / 2)": "http://www.w3.org/2001/XMLSchema#double",
+    }
+    assert {e: one(e) for e in want} == want
+    got = m.query(Q + "SELECT (STR(SUM(?o)) AS ?t) (STR(AVG(?o)) AS ?a) (STR(MAX(?o)) AS ?m) { ?s ex:v ?o }").first()
+    assert (got.t, got.m) == ("100.3", "100") and got.a.startswith("33.43333333333333333")
+    assert [r.s for r in m.query(Q + "SELECT ?s { ?s ex:v 0.2 }").collect()] == ["http://s/2"]
+    assert sorted(r.line.split('"')[1] for r in m.ntriples().collect()) == ["0.1", "0.2", "100"]

@@ -112,3 +112,57 @@ def test_stream(spark, tmp_path):
     q = expand_stream(P + "ex:T [xsd:anyURI ?s, ?v] :: { ottr:Triple(?s, ex:v, ?v) } .", "ex:T", stream, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.object for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["1"]
+
+
+def test_declared_types_are_checked(spark):
+    inner = "ex:In [xsd:integer ?x, xsd:anyURI ?s] :: { ottr:Triple(?s, ex:v, ?x) } . "
+    for kind in ("xsd:integer", "xsd:int", "xsd:unsignedByte", "ottr:IRI"):
+        out = P + inner + f"ex:Out [{kind} ?x, xsd:anyURI ?s] :: {{ ex:In(?x, ?s) }} ."
+        if kind == "ottr:IRI":
+            with pytest.raises(TypingError):
+                Mapping(out, spark=spark)
+        else:
+            Mapping(out, spark=spark)
+    for bad in ("xsd:string ?x", "xsd:decimal ?x", "List<xsd:integer> ?x"):
+        with pytest.raises(TypingError):
+            Mapping(P + inner + f"ex:Out [{bad}, xsd:anyURI ?s] :: {{ ex:In(?x, ?s) }} .", spark=spark)
+    Mapping(P + inner + "ex:Out [List<xsd:int> ?x, xsd:anyURI ?s] :: { cross | ex:In(++ ?x, ?s) } .", spark=spark)
+    with pytest.raises(TypingError):
+        Mapping(P + inner + "ex:Out [xsd:int ?x, xsd:anyURI ?s] :: { cross | ex:In(++ ?x, ?s) } .", spark=spark)
+    with pytest.raises(TypingError):
+        Mapping(P + "ex:T [xsd:string ?s] :: { ottr:Triple(?s, ex:v, 1) } .", spark=spark)
+
+
+def test_prefixes_that_differ_are_left_out(spark):
+    one = "@prefix a: <http://one/> . @prefix b: <http://b/> . a:T [xsd:anyURI ?s] :: { ottr:Triple(?s, b:p, 1) } ."
+    two = "@prefix a: <http://two/> . a:U [xsd:anyURI ?s] :: { ottr:Triple(?s, a:q, 1) } ."
+    with pytest.warns(UserWarning, match="prefix a:"):
+        m = Mapping([one, two], spark=spark)
+    m.expand("http://two/U", spark.createDataFrame([("http://s",)], "s string"))
+    m.expand("http://one/T", spark.createDataFrame([("http://s",)], "s string"))
+    assert lines(m) == ['<http://s> <http://b/p> "1"^^<http://www.w3.org/2001/XMLSchema#integer> .', '<http://s> <http://two/q> "1"^^<http://www.w3.org/2001/XMLSchema#integer> .']
+    with pytest.raises(TypingError):
+        m.templates.find("a:T")
+
+
+def test_sources(spark, tmp_path):
+    import pandas as pd
+    import pyarrow as pa
+
+    (tmp_path / "one.stottr").write_text(P + "ex:T [xsd:anyURI ?s, ?v] :: { ottr:Triple(?s, ex:v, ?v) } .")
+    (tmp_path / "note.txt").write_text("no template")
+    rows = {"s": ["http://s/1", "http://s/2"], "v": [1, 2]}
+    for paths in ((str(tmp_path),), (str(tmp_path / "one.stottr"),)):
+        made = []
+        for frame in (pd.DataFrame(rows), pa.table(rows), spark.createDataFrame(pd.DataFrame(rows))):
+            m = Mapping.from_files(*paths, spark=spark)
+            m.expand("ex:T", frame)
+            made.append(lines(m))
+        assert made[0] == made[1] == made[2] and len(made[0]) == 2
+
+
+def test_fractions_of_seconds(spark):
+    m = Mapping(P + "ex:T [xsd:anyURI ?s, ?a, ?b] :: { ottr:Triple(?s, ex:a, ?a), ottr:Triple(?s, ex:b, ?b) } .", spark=spark)
+    m.expand("ex:T", spark.sql("SELECT concat('http://s/', i) s, timestamp_ntz '2031-01-02 03:04:10' + i * interval '0.0001' second a, timestamp '2031-01-02 03:04:10' + i * interval '0.0001' second b FROM VALUES (0), (1), (5000) t(i)"))
+    got = sorted((r.predicate[-1], r.object) for r in m.triples().collect())
+    assert got == sorted((p, f"2031-01-02T03:04:10{f}{z}") for p, z in (("a", ""), ("b", "Z")) for f in ("", ".000100", ".500"))
