@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .errors import MappingError, UnsupportedQuery
 from .functions.terms import IRI, MIXED, NONE, RDF, STRING, RdfType, ntriples, spark_type
 from .operators.expand import Scope, default_template, expand, expand_instance
-from .operators.store import GraphStore, Piece
+from .operators.store import GraphStore
 from .plans import algebra
 from .plans.planner import Planner
 from .sources.tables import materialize
@@ -117,17 +117,16 @@ class Mapping:
         for df, kind in made:
             if kind == NONE:
                 continue
-            for (predicate,) in df.select("verb").distinct().orderBy("verb").collect():
-                rows = df.where(F.col("verb") == predicate)
-                if kind != MIXED:
-                    self.store.add(predicate, kind, Piece(rows, F.col("subject"), F.col("object"), None, False))
-                    continue
-                for r in rows.select("object.kind", "object.dt").distinct().collect():
-                    part = rows.where((F.col("object.kind") == r["kind"]) & (F.col("object.dt") == r["dt"]))
-                    tagged = r["dt"] == RDF + "langString"
-                    own = IRI if r["kind"] != "literal" else STRING if tagged else RdfType("literal", r["dt"])
-                    value = F.col("object.lex").try_cast(spark_type(own))
-                    self.store.add(predicate, own, Piece(part, F.col("subject"), value, F.col("object.lang") if tagged else None, False))
+            columns = (F.col("subject"), F.col("verb"))
+            if kind != MIXED:
+                self.store.add_named(kind, df, *columns, F.col("object"), None, False)
+                continue
+            for r in df.select("object.kind", "object.dt").distinct().collect():
+                part = df.where((F.col("object.kind") == r["kind"]) & (F.col("object.dt") == r["dt"]))
+                tagged = r["dt"] == RDF + "langString"
+                own = IRI if r["kind"] != "literal" else STRING if tagged else RdfType("literal", r["dt"])
+                value = F.col("object.lex").try_cast(spark_type(own))
+                self.store.add_named(own, part, *columns, value, F.col("object.lang") if tagged else None, False)
 
     # ---- exports ----
     def triples(self) -> DataFrame:

@@ -204,10 +204,8 @@ def _triple(values: list[Value], scope: Scope, store: GraphStore) -> None:
             frame = frame.limit(1)  # alike for all rows
         store.add(verb.constant, obj.kind, Piece(frame, subject.column, obj.column, lang, unique, star))
         return
-    # a predicate for each value of the verb: the values are read now
     named = scope.frame.select(subject.column.alias("s"), verb.column.alias("v"), obj.column.alias("o"))
-    for (predicate,) in named.where("v IS NOT NULL").select("v").distinct().orderBy("v").collect():
-        store.add(predicate, obj.kind, Piece(named.where(F.col("v") == predicate), F.col("s"), F.col("o"), lang, unique))
+    store.add_named(obj.kind, named, F.col("s"), F.col("v"), F.col("o"), lang, unique)
 
 
 def expand(templates: Templates, template: Template, frame: DataFrame, store: GraphStore, unique_subset: list[str] | None = None, tags: dict[str, str] | None = None, validate: bool = True) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.terms import IRI, MIXED, RdfType, promote
 from ..sources.tables import materialize
-from .store import GraphStore, Table
+from .store import GraphStore, Table, merged
 
 
 class Paths:
@@ -46,7 +46,7 @@ class Paths:
 
     def _nodes(self) -> DataFrame:
         """All nodes of the graph."""
-        edges = self._edges(list(self.store.tables.values()))
+        edges = self._edges(merged(self.store.tables.values()))
         if edges is None:
             return self._empty().select("s")
         return edges.select("s").union(edges.select("o")).distinct()
@@ -81,7 +81,7 @@ class Paths:
                 out = None
                 for names, turned in ((forward, False), (backward, True)):
                     if names or (not turned and not backward):
-                        edges = self._edges([t for t in self.store.tables.values() if t.predicate not in names])
+                        edges = self._edges(merged(t for t in self.store.tables.values() if t.predicate not in names))
                         if edges is not None:
                             edges = edges.select(F.col("o").alias("s"), F.col("s").alias("o")) if turned else edges
                             out = edges if out is None else out.union(edges)

@@ -17,7 +17,7 @@ from ..errors import UnsupportedQuery
 from ..functions.expressions import Compiler, Env, Value, harmonised, term
 from ..functions.terms import BOOLEAN, DECIMAL, DOUBLE, FLOAT, INTEGER, INTEGERS, IRI, MIXED, NONE, NUMERIC, STRING, RdfType, is_numeric, lexical, promote, spark_type
 from ..operators.paths import Paths
-from ..operators.store import GraphStore, Piece, Table
+from ..operators.store import GraphStore, Piece, Table, merged
 from ..sources.templates import Blank, Iri, Literal, Var
 from . import algebra as A
 
@@ -123,7 +123,7 @@ class Planner:
 
     def triple(self, t: A.Triple) -> Solutions:
         names = [x.name for x in (t.s, t.p, t.o) if isinstance(x, Var)]
-        tables = self.store.of(t.p.value) if isinstance(t.p, Iri) else list(self.store.tables.values())
+        tables = self.store.of(t.p.value) if isinstance(t.p, Iri) else merged(self.store.tables.values())
         parts: list[Solutions] = []
         for table in tables:
             rows, kind = table.pairs(), table.object_type
@@ -134,7 +134,7 @@ class Planner:
             if not isinstance(t.o, Var):
                 rows = rows.where(self._is(F.col("object"), kind, t.o))
             found: dict[str, tuple[Column, RdfType]] = {}
-            for node, column, k in ((t.s, F.col("subject"), IRI), (t.p, F.lit(table.predicate), IRI), (t.o, F.col("object"), kind)):
+            for node, column, k in ((t.s, F.col("subject"), IRI), (t.p, table.verb(), IRI), (t.o, F.col("object"), kind)):
                 if isinstance(node, Var):
                     if node.name in found:
                         rows = rows.where(self._same(*found[node.name], column, k))
