@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .api import Mapping
+from .sources.tables import shared_folder
 
 D, V = "http://d.example/", "http://d.example/v#"
 PREFIXES = f"PREFIX v: <{V}> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> PREFIX d: <{D}>\n"
@@ -133,6 +134,9 @@ SPARQL: dict[str, tuple[str, str, str]] = {
     "path_star": ("conversations", "SELECT ?a ?b { ?a v:role ?x . ?a v:next* ?b }", f"{_NEXT} SELECT '{D}turn/' || a.conv_id || '-' || a.turn AS a, '{D}turn/' || b.conv_id || '-' || b.turn AS b FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn <= b.turn"),
     "path_plus_const_start": ("conversations", f"SELECT ?b {{ <{D}turn/1-0> v:next+ ?b }}", f"SELECT '{D}turn/1-' || turn AS b FROM conversations WHERE conv_id = 1 AND turn > 0"),
     "predicate_variable": ("nation region", "SELECT ?s ?p ?o { ?s ?p ?o }", f"SELECT {N} AS s, '{V}n_name' AS p, n_name AS o FROM nation UNION ALL SELECT {N}, '{V}region', '{D}region/' || n_regionkey FROM nation UNION ALL SELECT {R}, '{V}r_name', r_name FROM region"),
+    "unknown_predicate": ("nation", "SELECT ?n ?x { ?n v:region ?r OPTIONAL { ?n v:nowhere ?x } }", f"SELECT {N} AS n, CAST(NULL AS VARCHAR) AS x FROM nation"),
+    "decimal_sums": ("part", "SELECT ?z (STR(SUM(xsd:decimal(STR(?x)) + 0.1)) AS ?total) { ?p v:psize ?z ; v:price ?x } GROUP BY ?z", "SELECT p_size AS z, rtrim(rtrim(CAST(sum(CAST(CAST(p_retailprice AS VARCHAR) AS DECIMAL(18,4)) + 0.1) AS VARCHAR), '0'), '.') AS total FROM part GROUP BY p_size"),
+    "time_terms": ("events", "SELECT ?e (STR(DATATYPE(?t)) AS ?d) (STR(?t) AS ?s) { ?e v:ts ?t }", f"SELECT {E} AS e, 'http://www.w3.org/2001/XMLSchema#dateTime' AS d, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '(\\.000000|000)$', '') AS s FROM events"),
     "type_error_filter": ("nation", "SELECT ?n { ?n v:n_name ?x FILTER(?x > 5 || ?x = 3) }", f"SELECT {N} AS n FROM nation WHERE false"),
     "tpch_q1_like": ("lineitem", "SELECT ?f ?s (SUM(?q) AS ?sum_qty) (ROUND(SUM(?x)) AS ?base) (ROUND(SUM(?x * (1 - ?d))) AS ?disc) (ROUND(AVG(?q) * 100) AS ?avg_qty) (COUNT(*) AS ?n) { ?l v:rflag ?f ; v:lstatus ?s ; v:quantity ?q ; v:extended ?x ; v:discount ?d ; v:shipdate ?t FILTER(?t <= \"1998-09-02T00:00:00\"^^xsd:dateTime) } GROUP BY ?f ?s", "SELECT l_returnflag AS f, l_linestatus AS s, sum(l_quantity) AS sum_qty, floor(sum(l_extendedprice) + 0.5) AS base, floor(sum(l_extendedprice * (1 - l_discount)) + 0.5) AS disc, floor(avg(l_quantity) * 100 + 0.5) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"),
     "tpch_q3_like": ("lineitem orders customer", 'SELECT ?o (ROUND(SUM(?x * (1 - ?d)) * 100) AS ?rev) { ?c v:segment "BUILDING" . ?o v:customer ?c ; v:odate ?od . ?l v:order ?o ; v:extended ?x ; v:discount ?d ; v:shipdate ?sd FILTER(?od < "1995-03-15T00:00:00"^^xsd:dateTime && ?sd > "1995-03-15T00:00:00"^^xsd:dateTime) } GROUP BY ?o', f"SELECT {O} AS o, floor(sum(l_extendedprice * (1 - l_discount)) * 100 + 0.5) AS rev FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-15' AND l_shipdate > TIMESTAMP '1995-03-15' GROUP BY 1"),
@@ -243,6 +247,57 @@ def ask_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m.query(PREFIXES + f"ASK {{ ?n v:region <{D}region/{k}> }}"), k) for k in (1, 77)], "answer boolean, k int")
 
 
+def native_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported tables, read again."""
+    folder = shared_folder(spark)
+    graph(spark, sf_dir, "orders").write_native_parquet(folder)
+    xsd = "httpwwww3org2001XMLSchema"
+    read = lambda predicate, kind: spark.read.parquet(f"{folder}/{predicate}_{kind}.parquet")
+    totals = read("httpdexamplevtotal", f"{xsd}double").withColumnRenamed("object", "total")
+    customers = read("httpdexamplevcustomer", "object_property").withColumnRenamed("object", "customer")
+    return totals.join(customers, "subject")
+
+
+def ntriples_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported lines, read again."""
+    folder = shared_folder(spark)
+    graph(spark, sf_dir, "events").write_ntriples(folder)
+    return spark.read.text(folder).where(F.contains("value", F.lit(f"<{V}ts>"))).withColumnRenamed("value", "line")
+
+
+def cached_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = Mapping(template("supplier"), caching_folder=shared_folder(spark), spark=spark)
+    m.expand(D + "supplier", source(spark, sf_dir, "supplier"), unique_subset=["id"])
+    return m.query(PREFIXES + "SELECT ?n (COUNT(*) AS ?k) { ?s v:snation ?n ; v:s_acctbal ?b FILTER(?b > 0) } GROUP BY ?n")
+
+
+def pandas_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the five regions, as a pandas frame."""
+    m = Mapping(template("region"), spark=spark)
+    m.expand(D + "region", source(spark, sf_dir, "region").toPandas())
+    return m.query(PREFIXES + "SELECT ?r ?n { ?r v:r_name ?n }")
+
+
+def blank_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = Mapping([_T + "d:S [xsd:anyURI ?s, xsd:anyURI ?nation, ?name] :: { ottr:Triple(?s, v:seat, _:seat), ottr:Triple(_:seat, v:in, ?nation), ottr:Triple(_:seat, v:of, ?name) } ."], spark=spark)
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(iri("supplier", "s_suppkey").alias("s"), iri("nation", "s_nationkey").alias("nation"), F.col("s_name").alias("name"))
+    m.expand(D + "S", rows, unique_subset=["s"])
+    return m.query(PREFIXES + "SELECT ?s ?nation ?name { ?s v:seat ?x . ?x v:in ?nation ; v:of ?name FILTER(isBlank(?x)) }")
+
+
+def construct_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = graph(spark, sf_dir, "nation")
+    m.construct_update(PREFIXES + "CONSTRUCT { _:b v:inRegion ?r . _:b v:called ?x } WHERE { ?c v:region ?r ; v:n_name ?x }")
+    return m.query(PREFIXES + "SELECT ?r ?x { ?b v:inRegion ?r ; v:called ?x FILTER(isBlank(?b)) }")
+
+
+def column_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All triples of predicates that come from a column, counted by these."""
+    m = Mapping([_T + "d:E [xsd:anyURI ?s, xsd:anyURI ?p, ?o] :: { ottr:Triple(?s, ?p, ?o) } ."], spark=spark)
+    m.expand(D + "E", spark.read.parquet(f"{sf_dir}/events.parquet").select(iri("user", "user_id").alias("s"), F.concat(F.lit(V), "event_type").alias("p"), F.col("value").alias("o")))
+    return m.query(PREFIXES + "SELECT ?p (COUNT(*) AS ?n) (MAX(?o) AS ?top) { ?s ?p ?o } GROUP BY ?p")
+
+
 _HALVES = f"WITH w AS (SELECT {DOC} AS s, string_split(text, ' ') AS w FROM documents), z AS (SELECT s, list_slice(w, 1, len(w) // 2) AS a, list_slice(w, len(w) // 2 + 1, len(w)) AS b FROM w)"
 
 CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -261,6 +316,13 @@ CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "ntriples_lines": (ntriples_lines, f"SELECT '<' || {N} || '> <{V}n_name> \"' || n_name || '\" .' AS line FROM nation UNION ALL SELECT '<' || {N} || '> <{V}region> <{D}region/' || n_regionkey || '> .' FROM nation UNION ALL SELECT '<' || {R} || '> <{V}r_name> \"' || r_name || '\" .' FROM region"),
     "construct_edges": (construct_edges, f"SELECT {C} AS subject, '{V}livesIn' AS verb, '{D}region/' || n_regionkey AS object FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT DISTINCT '{D}region/' || n_regionkey, '{V}home', c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "construct_update_query": (construct_update_query, f"SELECT '{D}region/' || n_regionkey AS r, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
+    "native_parquet": (native_parquet, f"SELECT {O} AS subject, o_totalprice AS total, '{D}customer/' || o_custkey AS customer FROM orders"),
+    "ntriples_export": (ntriples_export, f"SELECT '<' || {E} || '> <{V}ts> \"' || regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '(\\.000000|000)$', '') || '\"^^<http://www.w3.org/2001/XMLSchema#dateTime> .' AS line FROM events"),
+    "cached_rows": (cached_rows, f"SELECT '{D}nation/' || s_nationkey AS n, count(*) AS k FROM supplier WHERE s_acctbal > 0 GROUP BY 1"),
+    "pandas_source": (pandas_source, f"SELECT {R} AS r, r_name AS n FROM region"),
+    "blank_nodes": (blank_nodes, f"SELECT '{D}supplier/' || s_suppkey AS s, '{D}nation/' || s_nationkey AS nation, s_name AS name FROM supplier"),
+    "construct_blanks": (construct_blanks, f"SELECT '{D}region/' || n_regionkey AS r, n_name AS x FROM nation"),
+    "column_predicates": (column_predicates, f"SELECT '{V}' || event_type AS p, count(*) AS n, max(value) AS top FROM (SELECT DISTINCT user_id, event_type, value FROM events) GROUP BY 1"),
     "ask_query": (ask_query, "SELECT true AS answer, 1 AS k UNION ALL SELECT false, 77"),
 }
 
