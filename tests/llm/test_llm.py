@@ -580,3 +580,23 @@ def test_main_text_of_long_and_repeated_pages_with_further_columns(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
     got = html.extract(pages).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 499_999), ("1", 499_999), ("None", 1)] and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+
+
+def test_fit_takes_all_documents_and_all_pairs(spark):
+    rng = random.Random(21)
+    text = lambda bad: " ".join(rng.choice(["the", "River", "ran", "over!", "12", "stones"] + ["NOW!", "7"] * (2 * bad)) for _ in range(rng.randint(5, 60)))
+    rows = [(i, text(i % 3 == 0), int(i % 3 > 0) if i % 10 else i // 10 % 2) for i in range(9000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    x, good = quality.features([r[1] for r in rows]), np.array([r[2] for r in rows]) == 1
+    scale = x.std(axis=0)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(scale > 1e-9, scale, 1))
+    # the gradient over all pairs, one by one, is zero
+    z, gradient = model.inputs(x), -1e-3 * model.weights
+    s, worse = z @ model.weights, z[~good]
+    for i in np.flatnonzero(good):
+        lost = 1 / (1 + np.exp(s[i] - s[~good]))
+        gradient += (lost.sum() * z[i] - lost @ worse) / (good.sum() * (~good).sum())
+    assert np.abs(gradient).max() < 1e-8
+    assert abs(model.threshold - np.sort(s)[[(~good).sum() - 1, (~good).sum()]].mean()) < 1e-9
