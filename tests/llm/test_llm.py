@@ -600,3 +600,18 @@ def test_fit_takes_all_documents_and_all_pairs(spark):
         gradient += (lost.sum() * z[i] - lost @ worse) / (good.sum() * (~good).sum())
     assert np.abs(gradient).max() < 1e-8
     assert abs(model.threshold - np.sort(s)[[(~good).sum() - 1, (~good).sum()]].mean()) < 1e-9
+
+
+def test_reported_passages_are_not_looked_for_once_more(spark):
+    rng = random.Random(22)
+    text = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    p = text(120)
+    near = p[:60] + ["changed"] + p[61:]
+    docs = spark.createDataFrame([(i, " ".join(text(70) + (near if i % 2 else p) + text(70))) for i in range(12)], "doc_id long, text string")
+    got = substrings.duplicate_spans(docs).collect()
+    # no copy's halves beside the copy
+    assert {r.doc_id for r in got if r.n_words == 120} == set(range(1, 12)) and all(r.n_words > 70 for r in got)
+    spans = [{"begin": int(b), "end": int(b + rng.randint(1, 30))} for b in rng.sample(range(60), 8)]
+    begin, end = np.array([(b, b + n) for b in range(80) for n in (1, 5, 20)]).T
+    assert substrings.inside_spans(begin, end, spans).tolist() == [any(x["begin"] <= b and e <= x["end"] for x in spans) for b, e in zip(begin, end, strict=True)]
+    assert not substrings.inside_spans(begin, end, None).any()
