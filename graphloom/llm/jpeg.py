@@ -29,9 +29,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 UNIT = 192
+#: Parts of the media column whose tensors are stored at a time.
+SLICES = 16
 
 #: The order in which a JPEG block's 64 coefficients are stored (zigzag position -> row * 8 + column).
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i % 8 if (i // 8 + i % 8) % 2 == 0 else i // 8)))
@@ -518,3 +520,19 @@ def digests(stored: DataFrame) -> DataFrame:
 def stored(documents: DataFrame) -> DataFrame:
     """``media``'s rows with their full-resolution RGB tensors, as a table in the shared folder."""
     return materialize(media(documents).withColumn("tensor", tensors(F.col("media"))))
+
+
+def sliced_digests(documents: DataFrame, slices: int = SLICES) -> DataFrame:
+    """``digests`` of all documents from stored media and stored tensors. The media of all documents are a table in the
+    shared folder; the tensors, three times their size, are written and read back slice by slice, and a slice is deleted
+    before the next one is written. The digests are a table, too."""
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("int").alias("slice")
+    rows = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), store(F.col("text")).alias("media"), part)
+    kept = materialize(rows, by="slice", compression="zstd")
+    paths = []
+    for k in range(slices):
+        part = materialize(kept.where(F.col("slice") == k).drop("slice").withColumn("tensor", tensors(F.col("media"))), compression="zstd")
+        found = materialize(digests(part))
+        discard(part)
+        paths.append(found._graphloom_folder)
+    return documents.sparkSession.read.schema(found.schema).parquet(*paths)

@@ -615,3 +615,27 @@ def test_reported_passages_are_not_looked_for_once_more(spark):
     begin, end = np.array([(b, b + n) for b in range(80) for n in (1, 5, 20)]).T
     assert substrings.inside_spans(begin, end, spans).tolist() == [any(x["begin"] <= b and e <= x["end"] for x in spans) for b, e in zip(begin, end, strict=True)]
     assert not substrings.inside_spans(begin, end, None).any()
+
+
+def test_jpeg_tensors_are_stored_slice_by_slice(docs, empty, monkeypatch):
+    stored, alive, most = [], set(), []
+    kept, gone = jpeg.materialize, jpeg.discard
+
+    def write(df, **how):
+        out = kept(df, **how)
+        if "tensor" in out.columns:
+            alive.add(out._graphloom_folder)
+            most.append(len(alive))
+            stored.extend(r.doc_id for r in out.select("doc_id").collect())
+        return out
+
+    def drop(*frames):
+        alive.difference_update(x._graphloom_folder for x in frames)
+        gone(*frames)
+
+    monkeypatch.setattr(jpeg, "materialize", write)
+    monkeypatch.setattr(jpeg, "discard", drop)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(jpeg.sliced_digests(docs, 3)) == rows(jpeg.digests(jpeg.media(docs)))
+    assert Counter(stored) == Counter(r.doc_id for r in docs.select("doc_id").collect()) and most == [1, 1, 1] and not alive
+    assert jpeg.sliced_digests(empty, 2).count() == 0
