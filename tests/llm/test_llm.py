@@ -639,3 +639,26 @@ def test_jpeg_tensors_are_stored_slice_by_slice(docs, empty, monkeypatch):
     assert rows(jpeg.sliced_digests(docs, 3)) == rows(jpeg.digests(jpeg.media(docs)))
     assert Counter(stored) == Counter(r.doc_id for r in docs.select("doc_id").collect()) and most == [1, 1, 1] and not alive
     assert jpeg.sliced_digests(empty, 2).count() == 0
+
+
+def hidden_near_copies(groups: int, holders: int, seed: int):
+    """Near copies, a changed word in 52, of a passage the parts of which more documents have than are linked."""
+    rng = random.Random(seed)
+    text = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(groups):
+        p = text(52)
+        near = p[:26] + ["changed"] + p[27:]
+        parts = [p[:26], p[27:]] * holders + [p] + [p[:26], p[27:]] * holders + [near]
+        rows += [(100 * k + i, " ".join(text(70) + part + text(70))) for i, part in enumerate(parts)]
+        want.add((100 * k + len(parts) - 1, 100 * k + 2 * holders))
+    return rows, want
+
+
+def test_near_passages_behind_many_partial_holders(spark, monkeypatch):
+    rows, want = hidden_near_copies(20, 8, 31)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (4096, 5):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        got = substrings.duplicate_spans(docs, whole=True).collect()
+        assert {(r.doc_id, r.holder_id) for r in got} == want and all(r.n_words >= 50 and r.similarity >= 0.8 for r in got)
