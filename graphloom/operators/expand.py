@@ -2,12 +2,17 @@
 
 Only plans are built here. Arguments are expressions over the source frame; a nested template gets its caller's
 expressions, so an expansion without list expanders is one select for each triple, on the same frame.
+
+List expanders multiply rows only where a triple is made, and only by the lists whose elements it has: a triple with
+elements of one of two crossed lists needs no pairs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import count
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -16,7 +21,7 @@ from ..functions.terms import IRI, NONE, OTTR, XSD, RdfType, infer, parse_litera
 from ..sources.templates import ANY_URI, TRIPLE, Argument, Basic, Blank, Instance, Iri, ListTerm, Literal, NoneTerm, Parameter, PType, Template, Templates, Term, Var, Wrapped
 from .store import GraphStore, Piece
 
-_frames = count()
+_frames, _elements = count(), count()
 
 
 @dataclass(frozen=True)
@@ -29,6 +34,17 @@ class Value:
     is_list: bool = False
     source: str | None = None  # the column of the source frame that it is, unchanged
     constant: str | None = None  # the IRI that it always is
+    needs: frozenset[str] = frozenset()  # the list elements that it is made of, by their columns' names
+    element: str | None = None  # the one that it is, unchanged
+
+
+@dataclass(frozen=True)
+class Spread:
+    """Lists whose elements become rows side by side; one row without elements where there are none."""
+
+    lists: dict[str, Column]  # by the columns that their elements get
+    expander: str
+    needs: frozenset[str]  # the elements that the lists are made of
 
 
 @dataclass(frozen=True)
@@ -37,7 +53,10 @@ class Scope:
     frame_id: int
     values: dict[str, Value]
     row: Column  # a number for the row, for blank nodes
-    unique: frozenset[str] | None  # a set of source columns with no two rows alike; None after list expansion
+    unique: frozenset[str] | None  # a set of source columns with no two rows of the frame alike
+    row_needs: frozenset[str] = frozenset()
+    spreads: tuple[Spread, ...] = ()  # not yet in the frame
+    filled: tuple[Value, ...] = ()  # rows without one of these do not count; not yet in the frame
 
 
 def _is_uri(ptype: PType | None) -> bool:
@@ -108,7 +127,7 @@ def constant(term: Term, ptype: PType | None, scope: Scope, path: str) -> Value:
             return Value(parse_literal(value, datatype), RdfType("literal", datatype), F.lit(lang) if lang else None)
         case Blank(label):
             # one node for each row and place of the label
-            return Value(F.concat(F.lit(f"_:{label or 'b'}-{path if not label else path.split('/')[0]}-"), scope.row.cast("string")), IRI)
+            return Value(F.concat(F.lit(f"_:{label or 'b'}-{path if not label else path.split('/')[0]}-"), scope.row.cast("string")), IRI, needs=scope.row_needs)
         case NoneTerm():
             return Value(F.lit(None).cast("string"), NONE)
         case ListTerm(items):
@@ -118,7 +137,7 @@ def constant(term: Term, ptype: PType | None, scope: Scope, path: str) -> Value:
             if len(kinds) > 1:
                 raise MappingError(f"the list {term} has items of several types")
             kind = next(iter(kinds), NONE)
-            return Value(F.array(*[v.column for v in values]), kind, next((v.lang for v in values if v.lang is not None), None), True)
+            return Value(F.array(*[v.column for v in values]), kind, next((v.lang for v in values if v.lang is not None), None), True, needs=frozenset().union(*[v.needs for v in values]))
     raise MappingError(f"{term} is no constant")
 
 
@@ -134,35 +153,75 @@ def _with_default(v: Value, p: Parameter, scope: Scope, path: str) -> Value:
     d = constant(p.default, p.ptype, scope, path)
     if v.kind == NONE:
         return d
-    return replace(v, column=F.coalesce(v.column, d.column), source=None, constant=None)
+    return replace(v, column=F.coalesce(v.column, d.column), source=None, constant=None, needs=v.needs | d.needs, element=None)
 
 
 def _expanded(instance: Instance, values: list[Value], scope: Scope) -> tuple[list[Value], Scope]:
-    """Rows for the elements of the arguments marked ++."""
+    """Elements in the place of the arguments marked ++."""
     at = [i for i, a in enumerate(instance.arguments) if a.expand]
     if not instance.expander and at:
         raise MappingError(f"{instance.template}: ++ without an expander")
     if not at:
         return values, scope
-    frame = scope.frame.select(*[v.column.alias(f"a{i}") for i, v in enumerate(values)], scope.row.alias("row"))
     if not all(values[i].is_list for i in at):
         raise MappingError(f"{instance.template}: ++ on an argument that is no list")
-    if instance.expander == "cross":
-        for i in at:
-            frame = frame.withColumn(f"a{i}", F.explode_outer(F.array_distinct(f"a{i}")))  # a graph is a set
-    else:
-        lists = [F.coalesce(F.col(f"a{i}"), F.array()) if instance.expander == "zipMin" else F.col(f"a{i}") for i in at]
-        if instance.expander == "zipMin":
-            shortest = F.least(*map(F.size, lists)) if len(lists) > 1 else F.size(lists[0])
-            lists = [F.slice(x, F.lit(1), shortest) for x in lists]
-        zipped = F.arrays_zip(*[x.alias(f"z{k}") for k, x in enumerate(lists)])
-        names = [f.name for f in frame.select(zipped.alias("z")).schema["z"].dataType.elementType.fields]
-        frame = frame.withColumn("z", F.explode_outer(zipped))
-        for k, i in enumerate(at):
-            frame = frame.withColumn(f"a{i}", F.col("z").getField(names[k]))
-    row = F.concat_ws("-", F.col("row").cast("string"), F.xxhash64(*[f"a{i}" for i in at]).cast("string"))
-    new = [Value(F.col(f"a{i}"), v.kind, v.lang, v.is_list and i not in at, None, v.constant) for i, v in enumerate(values)]
-    return new, Scope(frame, next(_frames), {}, row, None)
+    names = {i: f"++{next(_elements)}" for i in at}
+    groups = [[i] for i in at] if instance.expander == "cross" else [at]
+    spreads = [Spread({names[i]: values[i].column for i in g}, instance.expander, frozenset().union(*[values[i].needs for i in g])) for g in groups]
+    row = F.concat_ws("-", scope.row.cast("string"), F.xxhash64(*[F.col(f"`{x}`") for x in names.values()]).cast("string"))
+    new = [Value(F.col(f"`{names[i]}`"), v.kind, v.lang, needs=frozenset({names[i]}), element=names[i]) if i in names else v for i, v in enumerate(values)]
+    return new, replace(scope, row=row, row_needs=scope.row_needs.union(names.values()), spreads=(*scope.spreads, *spreads))
+
+
+def _spread(frame: DataFrame, spread: Spread, names: list[str]) -> DataFrame:
+    """``frame`` with a row for each element (cross) or place (zip) of the lists, and columns for ``names`` of them."""
+    if spread.expander == "cross":
+        (name,) = names
+        return frame.withColumn(name, F.explode_outer(F.array_distinct(spread.lists[name])))  # a graph is a set
+    lists = [F.coalesce(x, F.array()) if spread.expander == "zipMin" else x for x in spread.lists.values()]
+    sizes = [F.size(x) for x in lists]
+    if spread.expander == "zipMin":
+        shortest = F.least(*sizes) if len(lists) > 1 else sizes[0]
+        cut = {n: F.slice(x, F.lit(1), shortest) for n, x in zip(spread.lists, lists, strict=True)}
+    elif len(names) == len(lists):
+        cut = spread.lists
+    else:  # of the places that only the others have, one stands for all; a list that is null has none, nor have the others
+        longest, whole = F.greatest(*sizes), reduce(and_, [x.isNotNull() for x in lists])
+        cut = {n: F.when(whole, F.when(F.size(x) < longest, F.concat(x, F.array(F.lit(None)))).otherwise(x)) for n, x in spread.lists.items()}
+    if len(names) == 1:
+        return frame.withColumn(names[0], F.explode_outer(cut[names[0]]))
+    zipped = F.arrays_zip(*[cut[n].alias(f"z{k}") for k, n in enumerate(names)])
+    fields = [f.name for f in frame.select(zipped.alias("z")).schema["z"].dataType.elementType.fields]
+    frame = frame.withColumn("++", F.explode_outer(zipped))
+    return frame.withColumns({n: F.col("`++`").getField(f) for n, f in zip(names, fields, strict=True)}).drop("++")
+
+
+def _rows(scope: Scope, needs: frozenset[str]) -> tuple[DataFrame, frozenset[str]]:
+    """The scope's rows with the elements ``needs`` and those that tell which rows count; these elements."""
+    own = {n: s for s in scope.spreads for n in s.lists}
+    before = None
+    while needs != before:
+        before = needs
+        for v in scope.filled:
+            if v.element is None or own[v.element].expander != "cross":
+                needs |= v.needs
+            else:  # of a list that is not asked for it is enough that it has a value
+                needs |= own[v.element].needs
+        for n in needs:
+            needs |= own[n].needs
+    frame = scope.frame
+    for v in scope.filled:
+        if not v.needs:
+            frame = frame.where(v.column.isNotNull())
+    for s in scope.spreads:
+        if names := [n for n in s.lists if n in needs]:
+            frame = _spread(frame, s, names)
+        elif any(v.element in s.lists for v in scope.filled):
+            frame = frame.where(F.exists(*s.lists.values(), lambda x: x.isNotNull()))
+    for v in scope.filled:
+        if v.needs and v.needs <= needs:
+            frame = frame.where(v.column.isNotNull())
+    return frame, needs
 
 
 def expand_instance(templates: Templates, instance: Instance, scope: Scope, store: GraphStore, path: str) -> None:
@@ -176,12 +235,14 @@ def expand_instance(templates: Templates, instance: Instance, scope: Scope, stor
         return
     inner = {p.name: _with_default(v, p, scope, path) for p, v in zip(template.parameters, values, strict=True)}
     # an argument without a value for a parameter that needs one makes no instance
-    needed = [inner[p.name].column.isNotNull() for p in template.parameters if not p.optional and p.default is None and inner[p.name].source is None and inner[p.name].constant is None]
-    frame = scope.frame
+    needed = [inner[p.name] for p in template.parameters if not p.optional and p.default is None and (inner[p.name].source is None or scope.spreads) and inner[p.name].constant is None]
     scope = replace(scope, values=inner)
-    if needed and scope.unique is None:
+    if scope.spreads:
+        scope = replace(scope, filled=(*scope.filled, *needed))
+    elif needed and scope.unique is None:
+        frame = scope.frame
         for n in needed:
-            frame = frame.where(n)
+            frame = frame.where(n.column.isNotNull())
         scope = replace(scope, frame=frame, frame_id=next(_frames))
     for i, part in enumerate(template.body):
         expand_instance(templates, part, scope, store, f"{path}/{i}")
@@ -196,15 +257,15 @@ def _triple(values: list[Value], scope: Scope, store: GraphStore) -> None:
     if subject.is_list or obj.is_list:
         raise MappingError("a triple has no list terms; use an expander")
     lang = obj.lang if obj.kind == RdfType("literal", XSD + "string") else None
-    unique = scope.unique is not None and scope.unique <= {v.source for v in values}
-    star = (scope.frame_id, subject.source) if scope.unique is not None and scope.unique == {subject.source} else None
+    frame, needs = _rows(scope, subject.needs | verb.needs | obj.needs)
+    unique = not needs and scope.unique is not None and scope.unique <= {v.source for v in values}
+    star = (scope.frame_id, subject.source) if not scope.spreads and scope.unique is not None and scope.unique == {subject.source} else None
     if verb.constant is not None:
-        frame = scope.frame
         if subject.source is None and obj.source is None and subject.constant and obj.constant:
             frame = frame.limit(1)  # alike for all rows
         store.add(verb.constant, obj.kind, Piece(frame, subject.column, obj.column, lang, unique, star))
         return
-    named = scope.frame.select(subject.column.alias("s"), verb.column.alias("v"), obj.column.alias("o"))
+    named = frame.select(subject.column.alias("s"), verb.column.alias("v"), obj.column.alias("o"))
     store.add_named(obj.kind, named, F.col("s"), F.col("v"), F.col("o"), lang, unique)
 
 

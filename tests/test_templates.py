@@ -1,6 +1,8 @@
 """Template documents and expansion."""
 
 import datetime as dt
+from collections import Counter
+from itertools import product, zip_longest
 
 import pytest
 
@@ -67,6 +69,52 @@ def test_lists(spark):
     assert {r.object for r in m.triples().collect()} == {"1", "2"}
 
 
+def test_lists_are_crossed_only_where_a_triple_needs_it(spark):
+    rows = spark.createDataFrame([("http://s/1", list(range(30_000)), list(range(30_000, 60_000))), ("http://s/2", [1], []), ("http://s/3", None, [2, 2]), ("http://s/4", [3, None], [None])], "s string, a array<int>, b array<int>")
+    got = {}
+    for given in ("? ?x, ? ?y", "?x, ?y"):  # 9e8 pairs in the first row
+        m = Mapping(P + f"ex:T [xsd:anyURI ?s, ? List<xsd:int> ?a, ? List<xsd:int> ?b] :: {{ cross | ex:Q(?s, ++ ?a, ++ ?b) }} . ex:Q [xsd:anyURI ?s, {given}] :: {{ ottr:Triple(?s, ex:x, ?x), ottr:Triple(?s, ex:y, ?y), ottr:Triple(?s, rdf:type, ex:C) }} .", spark=spark)
+        m.expand("ex:T", rows)
+        got[given] = Counter((r.subject[-1], r.predicate[-4:]) for r in m.triples().collect())
+    first = {("1", "le/x"): 30_000, ("1", "le/y"): 30_000, ("1", "type"): 1}
+    assert got["? ?x, ? ?y"] == first | {("2", "le/x"): 1, ("2", "type"): 1, ("3", "le/y"): 1, ("3", "type"): 1, ("4", "le/x"): 1, ("4", "type"): 1}
+    assert got["?x, ?y"] == first
+
+
+@pytest.mark.parametrize("expander", ["cross", "zipMin", "zipMax"])
+@pytest.mark.parametrize("given", ["? ?x, ? ?y, ? ?z", "?x, ? ?y, ? ?z", "? ?x, ? ?y = 9, ?z = 8", "? ?x, ! ?y, ?z"])
+def test_expanders_by_brute_force(spark, expander, given):
+    lists = [(1, 2, 2), (4, None), (), None, (5, 6, 7, 8)]
+    rows = [(f"http://s/{i}", *map(lambda x: x if x is None else list(x), (a, b, c))) for i, (a, b, c) in enumerate(product(lists, lists, lists[:4]))]
+    rows += [rows[-1], ("http://s/0", [1, 3], [4], [5])]
+    body = "ottr:Triple(?s, ex:x, ?x), ottr:Triple(?s, ex:y, ?y), ottr:Triple(?s, ex:n, _:b), ottr:Triple(_:b, ex:bx, ?x), ottr:Triple(_:b, ex:bz, ?z), ottr:Triple(?s, rdf:type, ex:C)"
+    m = Mapping(P + f"ex:T [xsd:anyURI ?s, ? List<xsd:int> ?a, ? List<xsd:int> ?b, ? List<xsd:int> ?c] :: {{ {expander} | ex:Q(?s, ++ ?a, ++ ?b, ++ ?c) }} . ex:Q [xsd:anyURI ?s, {given}] :: {{ {body} }} .", spark=spark)
+    m.expand("ex:T", spark.createDataFrame(rows, "s string, a array<int>, b array<int>, c array<int>"))
+    defaults = [int(p.split("=")[1]) if "=" in p else None for p in given.split(",")]
+    want, blanks = set(), set()
+    for s, *abc in rows:
+        if expander == "cross":
+            places = product(*[x or [None] for x in abc])
+        elif expander == "zipMin":
+            places = list(zip(*[x or [] for x in abc], strict=False)) or [(None, None, None)]
+        else:  # a list that is null has no places, nor have the others
+            places = [] if None in abc else list(zip_longest(*abc))
+            places = places or [(None, None, None)]
+        for place in places:
+            if any(v is None and "?" != p.split()[0] and "=" not in p for v, p in zip(place, given.split(","), strict=True)):
+                continue
+            x, y, z = (d if v is None else v for v, d in zip(place, defaults, strict=True))
+            want |= {(s, "x", x), (s, "y", y), (s, "e", "C")}
+            blanks.add((s, place, x, z))
+    got = m.triples().collect()
+    assert len(got) == len({tuple(r) for r in got})
+    assert {(r.subject, r.predicate[-1], int(r.object) if r.predicate[-1] in "xy" else "C") for r in got if r.subject[:4] == "http" and r.predicate[-2:] != "/n"} == {w for w in want if w[2] is not None}
+    of = {r.object: r.subject for r in got if r.predicate[-2:] == "/n"}
+    assert {r.subject for r in got if r.subject[:2] == "_:"} <= set(of)
+    for name, k in (("bx", 2), ("bz", 3)):
+        assert {(of[r.subject], int(r.object)) for r in got if r.predicate.endswith(name)} == {(b[0], b[k]) for b in blanks if b[k] is not None}
+
+
 def test_checks(spark):
     m = Mapping(P + "ex:T [! xsd:anyURI ?s, ?o = 3] :: { ottr:Triple(?s, ex:p, ?o) } .", spark=spark)
     for rows, schema in (([("_:b", 1)], "s string, o int"), ([(None, 1)], "s string, o int"), ([("http://s", 1, 2)], "s string, o int, z int"), ([(1,)], "o int"), ([(["a"], 1)], "s array<string>, o int")):
