@@ -17,9 +17,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import MappingError
-from ..functions.terms import IRI, NONE, OTTR, XSD, RdfType, infer, parse_literal
+from ..functions.terms import IRI, NONE, OTTR, XSD, RdfType, infer, parse_literal, spark_type
 from ..sources.templates import ANY_URI, TRIPLE, Argument, Basic, Blank, Instance, Iri, ListTerm, Literal, NoneTerm, Parameter, PType, Template, Templates, Term, Var, Wrapped
-from .store import GraphStore, Piece
+from .store import GraphStore, Piece, Subjects
 
 _frames, _elements = count(), count()
 
@@ -173,6 +173,11 @@ def _expanded(instance: Instance, values: list[Value], scope: Scope) -> tuple[li
     return new, replace(scope, row=row, row_needs=scope.row_needs.union(names.values()), spreads=(*scope.spreads, *spreads))
 
 
+def _plain(kind: T.DataType) -> bool:
+    """Of which array_distinct tells the values apart as de-duplication does (zeros have signs), and by hashes."""
+    return kind == T.StringType() or isinstance(kind, T.IntegralType | T.BooleanType | T.DecimalType | T.DateType | T.TimestampType | T.TimestampNTZType)
+
+
 def _spread(frame: DataFrame, spread: Spread, names: list[str]) -> DataFrame:
     """``frame`` with a row for each element (cross) or place (zip) of the lists, and columns for ``names`` of them."""
     if spread.expander == "cross":
@@ -189,7 +194,8 @@ def _spread(frame: DataFrame, spread: Spread, names: list[str]) -> DataFrame:
         longest, whole = F.greatest(*sizes), reduce(and_, [x.isNotNull() for x in lists])
         cut = {n: F.when(whole, F.when(F.size(x) < longest, F.concat(x, F.array(F.lit(None)))).otherwise(x)) for n, x in spread.lists.items()}
     if len(names) == 1:
-        return frame.withColumn(names[0], F.explode_outer(cut[names[0]]))
+        one = cut[names[0]]
+        return frame.withColumn(names[0], F.explode_outer(F.array_distinct(one) if _plain(frame.select(one.alias("l")).schema["l"].dataType.elementType) else one))
     zipped = F.arrays_zip(*[cut[n].alias(f"z{k}") for k, n in enumerate(names)])
     fields = [f.name for f in frame.select(zipped.alias("z")).schema["z"].dataType.elementType.fields]
     frame = frame.withColumn("++", F.explode_outer(zipped))
@@ -258,12 +264,19 @@ def _triple(values: list[Value], scope: Scope, store: GraphStore) -> None:
         raise MappingError("a triple has no list terms; use an expander")
     lang = obj.lang if obj.kind == RdfType("literal", XSD + "string") else None
     frame, needs = _rows(scope, subject.needs | verb.needs | obj.needs)
-    unique = not needs and scope.unique is not None and scope.unique <= {v.source for v in values}
+    # elements of one list, each once in a row
+    once = needs == {obj.element} and not subject.needs | verb.needs and _plain(kind := frame.schema[obj.element].dataType) and kind.simpleString() == spark_type(obj.kind)
+    unique = (once or not needs) and scope.unique is not None and scope.unique <= {v.source for v in values}
     star = (scope.frame_id, subject.source) if not scope.spreads and scope.unique is not None and scope.unique == {subject.source} else None
     if verb.constant is not None:
         if subject.source is None and obj.source is None and subject.constant and obj.constant:
             frame = frame.limit(1)  # alike for all rows
-        store.add(verb.constant, obj.kind, Piece(frame, subject.column, obj.column, lang, unique, star))
+        piece = Piece(frame, subject.column, obj.column, lang, unique, star)
+        if once and not unique and subject.constant is None:
+            subjects = Subjects(scope.frame, subject.column)
+            piece.subjects = store.subjects.setdefault((scope.frame_id, subject.source), subjects) if subject.source else subjects
+            piece.made = lambda part: _rows(replace(scope, frame=part), needs)[0]
+        store.add(verb.constant, obj.kind, piece)
         return
     named = frame.select(subject.column.alias("s"), verb.column.alias("v"), obj.column.alias("o"))
     store.add_named(obj.kind, named, F.col("s"), F.col("v"), F.col("o"), lang, unique)

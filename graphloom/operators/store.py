@@ -1,7 +1,8 @@
 """The graph as typed tables, one for each (predicate, RDF type of the object).
 
 A table is a list of lazy pieces. A piece is a select on a source frame; pieces that are known to hold no
-duplicates, alone in their table, are read without a shuffle for de-duplication.
+duplicates, alone in their table, are read without a shuffle for de-duplication. Of a list's elements, each once, only
+those of subjects with several rows are compared; such subjects are looked for when the table is first read.
 
 Predicates that come from a column are listed when their rows are added, for each has its own table and type. Such a
 table is the source under a filter; what reads many of them at once (``merged``) reads the source once.
@@ -9,8 +10,9 @@ table is the source under a filter; what reads many of them at once (``merged``)
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,6 +28,27 @@ class Verbs:
     names: frozenset[str]
 
 
+@dataclass(eq=False)
+class Subjects:
+    """A frame's subjects, before its lists become rows."""
+
+    frame: DataFrame
+    subject: Column
+
+    @cached_property
+    def repeated(self) -> DataFrame | None:
+        """Those with several rows, as ``++subject``; None if there are none."""
+        found = self.frame.groupBy(self.subject.alias("++subject")).count().where("`++subject` IS NOT NULL AND count > 1").select("++subject")
+        return None if found.isEmpty() else found
+
+    def split(self) -> tuple[DataFrame, DataFrame | None]:
+        """The rows with a subject of their own, and the others, if any."""
+        if self.repeated is None:
+            return self.frame, None
+        single, several = (self.frame.join(self.repeated, self.subject == F.col("`++subject`"), how) for how in ("left_anti", "left_semi"))
+        return single, several
+
+
 @dataclass
 class Piece:
     frame: DataFrame
@@ -37,6 +60,9 @@ class Piece:
     star: tuple | None = None
     #: Where the piece is a part of.
     verbs: Verbs | None = None
+    #: Where each row of these subjects' frame gives no triple twice; ``made`` gives the piece's frame of some of its rows.
+    subjects: Subjects | None = None
+    made: Callable[[DataFrame], DataFrame] | None = None
 
     def rows(self, kind: RdfType, tagged: bool) -> DataFrame:
         columns = [self.subject.alias("subject"), self.object.cast(spark_type(kind)).alias("object")]
@@ -44,6 +70,15 @@ class Piece:
             columns.append((F.lit(None) if self.lang is None else self.lang).cast("string").alias("language_tag"))
         return self.frame.select(*columns).where("subject IS NOT NULL AND object IS NOT NULL")
 
+    def distinct(self, kind: RdfType, tagged: bool) -> DataFrame:
+        if self.unique:
+            return self.rows(kind, tagged)
+        if self.subjects is None:
+            return self.rows(kind, tagged).dropDuplicates()
+        single, several = self.subjects.split()
+        out = replace(self, frame=self.made(single)).rows(kind, tagged)
+        return out if several is None else out.unionByName(replace(self, frame=self.made(several)).rows(kind, tagged).dropDuplicates())
+
 
 @dataclass
 class Table:
@@ -69,11 +104,13 @@ class Table:
                 columns.append(piece.lang.cast("string").alias("language_tag"))
             rows = rows.select(*columns).dropna(subset=["subject", "object", "predicate"])
             return rows if piece.unique else rows.dropDuplicates()
+        if len(self.pieces) == 1:
+            return self.pieces[0].distinct(self.kind, self.tagged)
         parts = [p.rows(self.kind, self.tagged) for p in self.pieces]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out if len(parts) == 1 and self.pieces[0].unique else out.dropDuplicates()
+        return out.dropDuplicates()
 
     @property
     def object_type(self) -> RdfType:
@@ -106,6 +143,8 @@ def merged(tables: Iterable[Table]) -> list[Table]:
 class GraphStore:
     def __init__(self):
         self.tables: dict[tuple[str, RdfType], Table] = {}
+        #: By the frame's number and the column.
+        self.subjects: dict[tuple[int, str], Subjects] = {}
 
     def add(self, predicate: str, kind: RdfType, piece: Piece) -> None:
         self.tables.setdefault((predicate, kind), Table(predicate, kind)).pieces.append(piece)

@@ -115,6 +115,32 @@ def test_expanders_by_brute_force(spark, expander, given):
         assert {(of[r.subject], int(r.object)) for r in got if r.predicate.endswith(name)} == {(b[0], b[k]) for b in blanks if b[k] is not None}
 
 
+@pytest.mark.parametrize("expander", ["cross", "zipMin", "zipMax"])
+def test_list_elements_are_compared_only_between_rows_of_a_subject(spark, expander):
+    document = P + f"ex:T [xsd:anyURI ?s, ? ?a, ? ?b] :: {{ {expander} | ex:Q(?s, ++ ?a, ++ ?b) }} . ex:Q [xsd:anyURI ?s, ? ?x, ? ?y] :: {{ ottr:Triple(?s, ex:x, ?x), ottr:Triple(?s, ex:y, ?y) }} ."
+    rows = [(f"http://s/{i}", [f"a{i % 3}", "u", "u"], ["u", None, f"b{i}"]) for i in range(6)]
+    want = {(s, p, o) for s, a, b in rows for p, x in (("x", a), ("y", b)) for o in x if o is not None}
+    for copies in ([], [("http://s/2", ["u", "new", "new"], ["u", "b2", "b3"])], rows):
+        m = Mapping(document, spark=spark)
+        m.expand("ex:T", spark.createDataFrame(rows + copies, "s string, a array<string>, b array<string>").repartition(3))
+        t = m.triples()
+        got = [(r.subject, r.predicate[-1], r.object) for r in t.collect()]
+        assert sorted(got) == sorted(want | {(s, p, o) for s, a, b in copies for p, x in (("x", a), ("y", b)) for o in x if o is not None})
+        plan = t._jdf.queryExecution().executedPlan().toString()
+        assert ("Aggregate" in plan) == bool(copies)
+    m = Mapping(document, spark=spark)
+    m.expand("ex:T", spark.createDataFrame([("http://s", [0.0, -0.0, float("nan"), float("nan")], [1.5] * 4)], "s string, a array<double>, b array<double>"))
+    assert sorted(r.object for r in m.triples().collect()) == ["0.0", "1.5", "NaN"]
+
+
+def test_lists_of_declared_keys_need_no_comparison(spark):
+    m = Mapping(spark=spark)
+    m.expand_default(spark.createDataFrame([("http://s", [1, 2, 1]), ("http://t", [1])], "id string, l array<int>"), "id", predicate_uri_prefix="http://p/")
+    t = m.triples()
+    assert sorted((r.subject, r.object) for r in t.collect()) == [("http://s", "1"), ("http://s", "2"), ("http://t", "1")]
+    assert "Aggregate" not in t._jdf.queryExecution().executedPlan().toString() and not m.store.subjects
+
+
 def test_checks(spark):
     m = Mapping(P + "ex:T [! xsd:anyURI ?s, ?o = 3] :: { ottr:Triple(?s, ex:p, ?o) } .", spark=spark)
     for rows, schema in (([("_:b", 1)], "s string, o int"), ([(None, 1)], "s string, o int"), ([("http://s", 1, 2)], "s string, o int, z int"), ([(1,)], "o int"), ([(["a"], 1)], "s array<string>, o int")):
